@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, langid, pii, sharding, unigram
+from . import balltree, bpe, chat, decontaminate, langid, pii, secrets, sharding, unigram
 
 BPE_FILE, UNIGRAM_FILE = "byte_bpe_multi_50k.tiktoken", "piece_bpe_32k.model"
 SHARDS = 24
@@ -29,10 +29,26 @@ def pattern() -> str:
     return public_tokenizers.PATTERN
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    spans = F.array_join(F.transform("secrets", lambda x: F.concat_ws(":", x["rule"], x["start"], x["end"])), ",")
+    return found.select(
+        "doc_id",
+        F.size("secrets").cast("long").alias("n_secrets"),
+        F.size("removed").cast("long").alias("n_removed"),
+        spans.alias("spans"),
+        F.sha2(F.coalesce("redacted", F.lit("")), 256).alias("redacted_sha256"),
+    )
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unigram.count_tokens(table(spark, sf_dir, "documents"), tokenizer(UNIGRAM_FILE))
 
 
+def op3_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return balltree.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
