@@ -136,7 +136,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, vec_id: str = "vec_
     dealt = tables.write(plain.withColumn("shard", shard), "dealt")
     asked = queries.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)))
     home = asked.withColumn("shard", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(n_shards))).withColumn("least", F.lit(float("-inf")))
-    each_block = F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).cast("long").alias("block")
+    each_block = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))).alias("block")
     spread = dealt.select("*", each_block) if n_blocks > 1 else dealt.withColumn("block", F.lit(0).cast("long"))
     schema = "query_id long, vec_id long, score long"
 
@@ -155,7 +155,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, vec_id: str = "vec_
     first = tables.write(searched(home.select("vec_id", "v", "dim", "least", "shard", "block")), "first")
     kth = first.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("least"))
     known = asked.join(kth.where(F.col("n") == k), asked.vec_id == kth.query_id, "left")
-    others = known.select("vec_id", "v", "dim", F.coalesce(F.col("least").cast("double"), F.lit(float("-inf"))).alias("least"), "block", F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))).cast("long").alias("shard"))
+    others = known.select("vec_id", "v", "dim", F.coalesce(F.col("least").cast("double"), F.lit(float("-inf"))).alias("least"), "block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_shards - 1).cast("long"))).alias("shard"))
     others = others.where(F.col("shard") != F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(n_shards)))
     found = first if n_shards == 1 else first.union(searched(others))
     place = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")

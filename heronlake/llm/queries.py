@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import balltree, bpe, chat, decontaminate, langid, pii, secrets, sharding, unigram
+from . import balltree, bpe, chat, decontaminate, jaccard, langid, pii, secrets, sharding, unigram
 
 BPE_FILE, UNIGRAM_FILE = "byte_bpe_multi_50k.tiktoken", "piece_bpe_32k.model"
 SHARDS = 24
@@ -49,6 +49,10 @@ def op3_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return balltree.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
