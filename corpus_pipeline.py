@@ -1,12 +1,47 @@
-"""A training-corpus pipeline of five operators of heronlake.llm."""
+"""A training-corpus pipeline of five operators of heronlake.llm, each stage on all that its predecessor kept."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from heronlake.llm import bpe, decontaminate, jaccard, langid, queries, secrets
 from heronlake.llm.common import Tables
 
-STAGES: list = []
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is rejected go."""
+    return langid.keep_identified(docs, langid.fit(docs))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of links stays: that with the smallest doc_id."""
+    return jaccard.keep_one(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of a benchmark item go."""
+    return decontaminate.clean(docs, queries.table(spark, sf_dir, "benchmark"))
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are masked in the texts; n_chars follows."""
+    return secrets.redact_rows(docs)
+
+
+def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of the texts and their digests, with the digest of the decoded bytes."""
+    file, pattern = queries.tokenizer(queries.BPE_FILE), queries.pattern()
+    return queries.bpe_digest(bpe.decode(bpe.encode(docs, file, pattern), file, pattern))
+
+
+STAGES = [
+    ("language identification", identify_language),
+    ("n-gram jaccard join", drop_near_copies),
+    ("benchmark decontamination", drop_contaminated),
+    ("secret scan", mask_secrets),
+    ("byte-level bpe", encode_texts),
+]
+#: SQL can't express the stages; tests hold them against brute force.
 ORACLE_SQL = None
 
 

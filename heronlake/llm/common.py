@@ -69,6 +69,27 @@ def by_batch(df: DataFrame, schema: str, function: Callable[[pa.RecordBatch], li
     return df.mapInArrow(run, schema)
 
 
+def filter_rows(df: DataFrame, keep: Callable[[pa.RecordBatch], list[bool]], rows: int = 512) -> DataFrame:
+    """The rows, with all their columns, for which keep says so."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
+                yield part.filter(pa.array(keep(part), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
+def without(docs: DataFrame, dropped: DataFrame, doc_id: str, text: str, most: int = 500_000) -> DataFrame:
+    """The rows of docs, with all their columns, whose (doc_id, xxhash64 of the text) is not among dropped(doc_id, h). A list of
+    up to most rows is broadcast; beyond that, both sides are shuffled."""
+    few = dropped.limit(most + 1).count() <= most
+    left = docs.withColumns({"__id": docs[doc_id], "__h": F.xxhash64(docs[text])})
+    on = left["__id"].eqNullSafe(dropped["doc_id"]) & (left["__h"] == dropped["h"])
+    return left.join(F.broadcast(dropped) if few else dropped, on, "left_anti").drop("__id", "__h")
+
+
 def _fields(schema: str) -> list[str]:
     out, depth, now = [], 0, ""
     for c in schema:

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Tables, pick
+from .common import Tables, pick, without
 
 #: Bytes above 0x7F belong to words; a byte alone of these is no valid text, so no word equals this one.
 FENCE = "\u0080"
@@ -54,7 +54,19 @@ def find(docs: DataFrame, items: DataFrame, window: int = 10, doc_id: str = "doc
     fewer words than a window is one window; null and empty texts have no words, and such items no windows. Repeated rows
     are worked on once and returned as often as they occur; rows are told apart by doc_id and text. A null item_id
     reads null. Tables of intermediate results go to the shared folder."""
-    docs, items = pick(docs, doc_id=doc_id, text=text), pick(items, item_id=item_id, text=item_text)
+    found = _find(pick(docs, doc_id=doc_id, text=text), pick(items, item_id=item_id, text=item_text), window)
+    return found.select("doc_id", "n_words", "hits", "n_hit", "items", F.explode(F.sequence(F.lit(1), "times"))).drop("col")
+
+
+def clean(docs: DataFrame, items: DataFrame, window: int = 10, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, that hold no window of any item."""
+    found = _find(pick(docs, doc_id=doc_id, text=text), pick(items, item_id=item_id, text=item_text), window)
+    dropped = Tables(docs.sparkSession, "contaminated").write(found.where("n_hit > 0").select("doc_id", "h"), "dropped")
+    return without(docs, dropped, doc_id, text)
+
+
+def _find(docs: DataFrame, items: DataFrame, window: int) -> DataFrame:
+    """What find() returns, one row for each different (doc_id, h), with times, the number of its rows."""
     tables = Tables(docs.sparkSession, "decontaminate")
     windows = tables.write(_item_windows(items, window), "windows")
     shingles = windows.select(F.explode(F.expr(SHINGLES)).alias("s")).select("s.*").distinct()
@@ -98,6 +110,5 @@ def find(docs: DataFrame, items: DataFrame, window: int = 10, doc_id: str = "doc
         F.collect_set(F.expr("if(alone, struct(pos, asks), null)")).alias("single"),
     )
     hits = F.array_sort(F.concat(F.expr(HITS), F.expr(SINGLE_HITS))) if n_single else F.array_sort(F.expr(HITS))
-    per = per.select("doc_id", "n_words", "times", hits.alias("hits"))
-    per = per.select("*", F.expr(COVERED).cast("long").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten("hits.items"))).alias("items"))
-    return per.select("doc_id", "n_words", "hits", "n_hit", "items", F.explode(F.sequence(F.lit(1), "times"))).drop("col")
+    per = per.select("doc_id", "h", "n_words", "times", hits.alias("hits"))
+    return per.select("*", F.expr(COVERED).cast("long").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten("hits.items"))).alias("items"))

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Bounded, Tables, by_batch, pick
+from .common import Bounded, Tables, by_batch, pick, without
 from .components import components
 
 #: Cells of the table of n-gram counts, by which rare ones come first. Cells are shared by hash, which changes the order, not the result.
@@ -150,7 +150,28 @@ def join(docs: DataFrame, n: int = 4, percent: int = 85, doc_id: str = "doc_id",
     others; null ids join components but name one only if it has no other id. n_links counts the links that were verified for
     the row's set, which are enough to connect a component; copies of a set are not expanded into pairs. Memory of a task is bounded
     by one document, and one hub's group of pairs."""
-    docs = pick(docs, doc_id=doc_id, text=text).withColumn("h", F.xxhash64("text"))
+    return _join(pick(docs, doc_id=doc_id, text=text), n, percent).drop("h")
+
+
+def keep_one(docs: DataFrame, n: int = 4, percent: int = 85, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, of which one of each component stays: that with the smallest doc_id, and of
+    repeated rows one. Rows without n-grams all stay."""
+    found = _join(pick(docs, doc_id=doc_id, text=text), n, percent)
+    found = Tables(docs.sparkSession, "copies").write(found.select("doc_id", "h", "n_shingles", "component_id"), "found")
+    kept = without(docs, found.where("not doc_id <=> component_id").select("doc_id", "h").distinct(), doc_id, text)
+    again = found.where("n_shingles > 0 and doc_id <=> component_id").groupBy("doc_id", "h").count().where("count > 1")
+    if again.isEmpty():
+        return kept
+    first = kept.withColumns({"__id": kept[doc_id], "__h": F.xxhash64(kept[text]), "__n": F.monotonically_increasing_id()})
+    first = Tables(docs.sparkSession, "repeated").write(first, "rows")
+    repeated = first.join(again, first["__id"].eqNullSafe(again["doc_id"]) & (first["__h"] == again["h"]), "left_semi")
+    later = repeated.select("__id", "__h", "__n").withColumn("__k", F.row_number().over(Window.partitionBy("__id", "__h").orderBy("__n"))).where("__k > 1")
+    return first.join(later.select("__n"), "__n", "left_anti").drop("__id", "__h", "__n")
+
+
+def _join(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """What join() returns, with h, the hash of the text."""
+    docs = docs.withColumn("h", F.xxhash64("text"))
     tables = Tables(docs.sparkSession, "jaccard")
     counts = _counts(docs, n)
     rows = tables.write(_sets(docs.select("doc_id", "h", "text"), n, percent, counts), "rows")
@@ -167,8 +188,8 @@ def join(docs: DataFrame, n: int = 4, percent: int = 85, doc_id: str = "doc_id",
     degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
     linked = labelled.join(lowest, "root").join(degree, "id", "left").select("set_hash", "component", "n_links")
     named = plain.join(linked, "set_hash", "left").select("set_hash", F.coalesce("component", "low").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    out = rows.select("doc_id", "n_shingles", "set_hash").join(named, "set_hash", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    out = rows.select("doc_id", "h", "n_shingles", "set_hash").join(named, "set_hash", "left")
+    return out.select("doc_id", "h", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def _links(docs: DataFrame, nodes: DataFrame, tables: Tables, n: int, percent: int) -> DataFrame:

@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import by_batch, pick
+from .common import by_batch, filter_rows, pick
 
 UNDETERMINED = "und"
 LETTER, OTHERS = regex.compile(r"\p{L}"), regex.compile(r"[^\p{L}]+")
@@ -108,3 +108,10 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], doc_id: str = "doc_
 
     kind = source.schema["doc_id"].dataType.simpleString()
     return by_batch(source, f"doc_id {kind}, lang_pred string, score double, rejected boolean", run)
+
+
+def keep_identified(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose language is not rejected."""
+    shared = docs.sparkSession.sparkContext.broadcast(tuple(sorted(dictionaries.items())))
+    at = docs.columns.index(text)
+    return filter_rows(docs, lambda batch: [not _classifier(shared.value).predict(x)[2] for x in batch.column(at).to_pylist()])
