@@ -1,15 +1,472 @@
-"""The registered queries of the reference's operators, with their SQL."""
+"""The registered queries of the fraud-scoring and vector-search operators."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions import scalar
+from ..operators import evaluate, generate, ivf, knn, lsh, models, training
+from ..operators.vectorize import approved, vectorize
+from ..schemas import DIMS, MCC_RISK, PAYLOAD
+from ..sources import sinks
+from ..streaming import scoring
+from . import adapters, fixed, sql
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_found: dict[str, Query] = {}
+
+
+def query(f: Query) -> Query:
+    _found[f.__name__] = f
+    return f
+
+
+def queries() -> dict[str, Query]:
+    return dict(_found)
 
 
 def oracles() -> dict[str, str]:
-    return {}
+    return sql.oracles()
+
+
+def _votes(s: SparkSession, d: str) -> DataFrame:
+    return knn.vote(_neighbours(s, d))
+
+
+def _neighbours(s: SparkSession, d: str) -> DataFrame:
+    v = adapters.vectors(s, d)
+    return knn.knn(adapters.event_queries(v), adapters.event_refs(v))
+
+
+def _judged(s: SparkSession, d: str) -> DataFrame:
+    """predicted and expected of each query."""
+    labels = adapters.vectors(s, d).select(F.col("event_id").alias("qid"), F.col("y").alias("expected"))
+    return _votes(s, d).join(labels, "qid").select(F.when(approved(F.col("fraud_score")), 0).otherwise(1).alias("predicted"), "expected")
+
+
+def _probabilities(s: SparkSession, d: str) -> DataFrame:
+    return adapters.vectors(s, d).select("event_id", F.col("y").alias("expected"), models.forest_probability(fixed.FOREST).alias("probability"))
+
+
+@query
+def q_vectorize(s: SparkSession, d: str) -> DataFrame:
+    return adapters.vectors(s, d).select("event_id", *DIMS)
+
+
+@query
+def q_vectorize_served(s: SparkSession, d: str) -> DataFrame:
+    return adapters.vectors(s, d, rounded=False).select("event_id", *[scalar.round_to(F.col(x), 6).alias(x) for x in DIMS])
+
+
+@query
+def q_dim_time(s: SparkSession, d: str) -> DataFrame:
+    return adapters.vectors(s, d).select("event_id", F.col("d3").alias("hour_of_day"), F.col("d4").alias("day_of_week"), F.col("d5").alias("minutes_since_last"))
+
+
+@query
+def q_dim_amounts(s: SparkSession, d: str) -> DataFrame:
+    return adapters.vectors(s, d).select("event_id", F.col("d0").alias("amount"), F.col("d2").alias("amount_vs_avg"), F.col("d13").alias("merchant_avg"))
+
+
+@query
+def q_sentinel(s: SparkSession, d: str) -> DataFrame:
+    return adapters.vectors(s, d).where("d5 = -1 and d6 = -1").select("event_id", "d5", "d6")
+
+
+@query
+def q_label_encode(s: SparkSession, d: str) -> DataFrame:
+    return adapters.payloads(s, d).groupBy("y").agg(F.count("*").alias("n"))
+
+
+@query
+def q_mcc_join(s: SparkSession, d: str) -> DataFrame:
+    risks = F.broadcast(s.createDataFrame(list(MCC_RISK.items()), "mcc string, risk double"))  # a fixed table of ten rows
+    mcc = adapters.payloads(s, d).select("event_id", F.col("merchant.mcc").alias("mcc"))
+    return mcc.join(risks, "mcc", "left").select("event_id", "mcc", F.coalesce("risk", F.lit(0.5)).alias("mcc_risk"))
+
+
+def _known(s: SparkSession, d: str, how: str) -> DataFrame:
+    p = adapters.payloads(s, d).select("event_id", "merchant.id", "customer.known_merchants")
+    known = p.select("event_id", F.explode("known_merchants").alias("id"))
+    return p.select("event_id", "id").join(known, ["event_id", "id"], how).select("event_id")
+
+
+@query
+def q_known_semi(s: SparkSession, d: str) -> DataFrame:
+    return _known(s, d, "left_semi")
+
+
+@query
+def q_known_anti(s: SparkSession, d: str) -> DataFrame:
+    return _known(s, d, "left_anti")
+
+
+@query
+def q_knn_exact(s: SparkSession, d: str) -> DataFrame:
+    return _neighbours(s, d).select("qid", "rank", "ref_id", F.round("d", 6).alias("d2"))
+
+
+@query
+def q_knn_pairs(s: SparkSession, d: str) -> DataFrame:
+    v = adapters.vectors(s, d)
+    return knn.knn_pairs(adapters.event_queries(v), adapters.event_refs(v)).select("qid", "rank", "ref_id", F.round("d", 6).alias("d2"))
+
+
+@query
+def q_knn_vote(s: SparkSession, d: str) -> DataFrame:
+    return _votes(s, d).select("qid", "fraud_score", approved(F.col("fraud_score")).alias("approved"))
+
+
+@query
+def q_decision(s: SparkSession, d: str) -> DataFrame:
+    return _votes(s, d).groupBy(approved(F.col("fraud_score")).alias("approved")).agg(F.count("*").alias("n"))
+
+
+@query
+def q_fail_open(s: SparkSession, d: str) -> DataFrame:
+    lost = F.when(F.col("qid") % 3 != 0, F.col("fraud_score"))
+    return _votes(s, d).select("qid", approved(lost).alias("approved"))
+
+
+def _embedding_knn(s: SparkSession, d: str, metric: str) -> DataFrame:
+    e = adapters.embeddings(s, d)
+    return knn.knn(adapters.embedding_queries(e), adapters.embedding_refs(e), metric=metric)
+
+
+@query
+def q_knn_embeddings(s: SparkSession, d: str) -> DataFrame:
+    return _embedding_knn(s, d, "l2").select("qid", "rank", "ref_id", F.round("d", 6).alias("d"))
+
+
+@query
+def q_brute_force_labels(s: SparkSession, d: str) -> DataFrame:
+    near = F.array_sort(F.collect_list(F.struct("rank", F.col("y").cast("string").alias("y"))))
+    return _embedding_knn(s, d, "l2").groupBy("qid").agg(F.array_join(F.transform(near, lambda x: x["y"]), ",").alias("labels"))
+
+
+@query
+def q_knn_l1(s: SparkSession, d: str) -> DataFrame:
+    return _embedding_knn(s, d, "l1").select("qid", "rank", "ref_id", F.round("d", 6).alias("d"))
+
+
+@query
+def q_knn_cosine(s: SparkSession, d: str) -> DataFrame:
+    return _embedding_knn(s, d, "cosine").select("qid", "rank", "ref_id", F.round("d", 6).alias("d"))
+
+
+def _quantized(v: str, half_even: bool) -> Column:
+    return F.transform(v, lambda x: scalar.quantize_i16(x, half_even))
+
+
+@query
+def q_quantize_i16(s: SparkSession, d: str) -> DataFrame:
+    return adapters.embeddings(s, d).select("vec_id", F.array_join(F.transform(_quantized("v", True), lambda x: x.cast("string")), ",").alias("quantized"))
+
+
+@query
+def q_knn_i16(s: SparkSession, d: str) -> DataFrame:
+    e = adapters.embeddings(s, d)
+    as_double = lambda c: F.transform(c, lambda x: x.cast("double"))  # noqa: E731  whole numbers: sums are exact
+    q = adapters.embedding_queries(e).withColumn("v", as_double(_quantized("v", False)))
+    r = adapters.embedding_refs(e).withColumn("v", as_double(_quantized("v", True)))
+    return knn.knn(q, r).select("qid", "rank", "ref_id", F.round(F.sqrt("d") / 32767.0, 6).alias("distance"))
+
+
+def _ivf(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    e = adapters.embeddings(s, d)
+    c = adapters.embedding_centroids(e)
+    return adapters.embedding_queries(e), ivf.assign(adapters.embedding_refs(e), c), c
+
+
+@query
+def q_ivf_offsets(s: SparkSession, d: str) -> DataFrame:
+    _, index, c = _ivf(s, d)
+    return ivf.offsets(index, c)
+
+
+@query
+def q_ivf_probe(s: SparkSession, d: str) -> DataFrame:
+    q, _, c = _ivf(s, d)
+    return ivf.nearest_centroids(q, "qid", c, 3).select("qid", "place", "cluster_id")
+
+
+@query
+def q_ivf_knn(s: SparkSession, d: str) -> DataFrame:
+    q, index, c = _ivf(s, d)
+    return ivf.search(q, index, c, nprobe=3).select("qid", "rank", "ref_id", F.round("d", 6).alias("d"))
+
+
+@query
+def q_ivf_score(s: SparkSession, d: str) -> DataFrame:
+    q, index, c = _ivf(s, d)
+    return knn.vote(ivf.search(q, index, c, nprobe=3))
+
+
+@query
+def q_ivf_early_exit(s: SparkSession, d: str) -> DataFrame:
+    q, index, c = _ivf(s, d)
+    return ivf.search_early_exit(q, index, c, nprobe=3).select("qid", "rank", "ref_id", F.round(F.sqrt("d"), 6).alias("distance"))
+
+
+def _lsh(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    v = adapters.vectors(s, d)
+    return adapters.event_queries(v, 200), adapters.event_refs(v)
+
+
+@query
+def q_lsh_hash(s: SparkSession, d: str) -> DataFrame:
+    rows = adapters.vectors(s, d).select("event_id", F.array(*DIMS).alias("v"))
+    return lsh.buckets(rows, "event_id", fixed.PROJECTIONS, fixed.LSH_WIDTH).select("event_id", "table_idx", F.array_join(F.transform("bucket_key", lambda x: x.cast("string")), ",").alias("bucket_key"))
+
+
+@query
+def q_lsh_candidates(s: SparkSession, d: str) -> DataFrame:
+    return lsh.candidates(*_lsh(s, d), fixed.PROJECTIONS, fixed.LSH_WIDTH).groupBy("qid").agg(F.count("*").alias("n"), F.sum("ref_id").alias("ids"))
+
+
+@query
+def q_lsh_knn(s: SparkSession, d: str) -> DataFrame:
+    return lsh.search(*_lsh(s, d), fixed.PROJECTIONS, fixed.LSH_WIDTH).select("qid", "rank", "ref_id", F.round(F.sqrt("d"), 6).alias("distance"))
+
+
+@query
+def q_rules_risk(s: SparkSession, d: str) -> DataFrame:
+    return adapters.vectors(s, d).select("event_id", F.round(models.risk_points() / 100.0, 2).alias("risk"))
+
+
+@query
+def q_fast_path(s: SparkSession, d: str) -> DataFrame:
+    return adapters.vectors(s, d).select(models.fast_path(models.risk_points()).alias("method"), "y").groupBy("method", "y").agg(F.count("*").alias("n"))
+
+
+@query
+def q_three_tier_centroid(s: SparkSession, d: str) -> DataFrame:
+    v = adapters.vectors(s, d)
+    means = models.class_means(v)  # two rows
+    for y, side in ((0, "g"), (1, "b")):
+        v = v.join(F.broadcast(means.where(F.col("y") == y).select(*[F.col(x).alias(f"{side}_{x}") for x in DIMS])))
+    to = {side: F.sqrt(scalar.squared_distance(models.columns(), [F.col(f"{side}_{x}") for x in DIMS])) for side in "gb"}
+    ratio = models.cut_ratio(models.ratio_of(to["g"], to["b"]), 0.65, 0.35)
+    method = models.fast_path(models.risk_points(), 10, 60)
+    return v.select(F.when(method != "miss", method).otherwise(ratio).alias("tier"), "y").groupBy("tier", "y").agg(F.count("*").alias("n"))
+
+
+@query
+def q_centroids(s: SparkSession, d: str) -> DataFrame:
+    return models.class_means(adapters.vectors(s, d)).select("y", "n", *[F.round(x, 6).alias(x) for x in DIMS])
+
+
+@query
+def q_pooled_cov(s: SparkSession, d: str) -> DataFrame:
+    return models.class_covariances(adapters.vectors(s, d), DIMS[:8]).select("y", "i", "j", F.round("cov", 6).alias("cov"))
+
+
+@query
+def q_mahalanobis(s: SparkSession, d: str) -> DataFrame:
+    """Tiers by the Mahalanobis ratio in eight dimensions; the inverse is solved on the driver, so rows only are checked."""
+    v = adapters.vectors(s, d)
+    names = [f"p{i}" for i in range(8)]
+    p = v.select("event_id", "y", *DIMS, *[x.alias(n) for n, x in zip(names, models.project(fixed.MATRIX), strict=True)])
+    m = models.Moments.of(p, names)
+    import numpy as np
+
+    inverse = np.linalg.inv(m.pooled())
+    to = {y: F.sqrt(models.mahalanobis_squared(names, m.mean[y], inverse)) for y in (0, 1)}
+    tier = models.cut_ratio(models.ratio_of(to[0], to[1]), 0.70, 0.30)
+    method = models.fast_path(models.risk_points(), 10, 60)
+    return p.select(F.when(method != "miss", method).otherwise(tier).alias("tier"), "y").groupBy("tier", "y").agg(F.count("*").alias("n"))
+
+
+@query
+def q_svd_project(s: SparkSession, d: str) -> DataFrame:
+    return adapters.vectors(s, d).select("event_id", *[(F.round(x, 6) + 0.0).alias(f"p{i}") for i, x in enumerate(models.project(fixed.MATRIX))])
+
+
+@query
+def q_lda_score(s: SparkSession, d: str) -> DataFrame:
+    return adapters.vectors(s, d, rounded=False).select("event_id", F.round(models.linear_score(fixed.WEIGHTS, fixed.INTERCEPT), 6).alias("score"))
+
+
+@query
+def q_lda_gate_cart(s: SparkSession, d: str) -> DataFrame:
+    gate = models.gate(models.linear_score(fixed.WEIGHTS, fixed.INTERCEPT), models.tree_value(fixed.TREE), 2.0)
+    return adapters.vectors(s, d, rounded=False).select("event_id", gate.alias("fraud"))
+
+
+@query
+def q_tree_predict(s: SparkSession, d: str) -> DataFrame:
+    return adapters.vectors(s, d).select("event_id", models.tree_value(fixed.TREE).alias("probability"))
+
+
+@query
+def q_tree_boxes(s: SparkSession, d: str) -> DataFrame:
+    return models.predict_boxes(adapters.vectors(s, d), "event_id", fixed.TREE).select("event_id", F.col("value").alias("probability"))
+
+
+@query
+def q_forest_predict(s: SparkSession, d: str) -> DataFrame:
+    p = F.col("probability")
+    return _probabilities(s, d).select("event_id", F.round(p, 6).alias("probability"), models.classify(p, 0.5).alias("fraud"))
+
+
+@query
+def q_forest_sweep(s: SparkSession, d: str) -> DataFrame:
+    return evaluate.sweep(_probabilities(s, d), fixed.THRESHOLDS)
+
+
+@query
+def q_best_threshold(s: SparkSession, d: str) -> DataFrame:
+    return evaluate.best(evaluate.sweep(_probabilities(s, d), fixed.THRESHOLDS))
+
+
+@query
+def q_grid_thresholds(s: SparkSession, d: str) -> DataFrame:
+    rows = adapters.vectors(s, d).withColumn("points", models.risk_points())
+    return evaluate.threshold_grid(rows, "points", (10, 12, 15, 18, 20), (60, 65, 70, 75, 80))
+
+
+@query
+def q_band_coverage(s: SparkSession, d: str) -> DataFrame:
+    return evaluate.band_coverage(_probabilities(s, d), 0.5, fixed.BANDS)
+
+
+@query
+def q_two_stage(s: SparkSession, d: str) -> DataFrame:
+    """Forest first; only rows within the band go to neighbour search."""
+    v = adapters.vectors(s, d)
+    q = adapters.event_queries(v).withColumn("probability", models.forest_probability(fixed.FOREST))
+    p, unsure = F.col("probability"), models.uncertain(F.col("probability"), 0.513, 0.2)
+    sure = q.where(~unsure).select("qid", F.lit("forest").alias("stage"), models.classify(p, 0.513).alias("fraud"))
+    voted = knn.vote(knn.knn(q.where(unsure).select("qid", "v"), adapters.event_refs(v)))
+    return sure.union(voted.select("qid", F.lit("knn"), F.when(approved(F.col("fraud_score")), 0).otherwise(1)))
+
+
+@query
+def q_hybrid_lda_cart(s: SparkSession, d: str) -> DataFrame:
+    rows = adapters.vectors(s, d, rounded=False).select("y", models.linear_score(fixed.WEIGHTS, fixed.INTERCEPT).alias("lda"), models.tree_value(fixed.TREE).alias("cart"))
+    bands, sums = (10, 5, 3, 2), []
+    for b in bands:  # all bands in one pass
+        g = models.gate(F.col("lda"), F.col("cart"), float(b))
+        sums.append(F.struct(F.lit(b).alias("band"), F.count_if(F.abs("lda") <= b).alias("fallback"), *evaluate.confusion_counts(g, F.col("y"))))
+    return rows.agg(*[x.alias(f"b{i}") for i, x in enumerate(sums)]).select(F.explode(F.array(*[f"b{i}" for i in range(len(bands))])).alias("x")).select("x.*")
+
+
+@query
+def q_confusion(s: SparkSession, d: str) -> DataFrame:
+    return evaluate.confusion(_judged(s, d))
+
+
+@query
+def q_accuracy_penalty(s: SparkSession, d: str) -> DataFrame:
+    return evaluate.accuracy_penalty(evaluate.confusion(_judged(s, d)))
+
+
+@query
+def q_contest_score(s: SparkSession, d: str) -> DataFrame:
+    cases = [(0, 0, 0, 1.0), (5, 5, 0, 3.0), (0, 0, 0, 100.0), (30, 20, 0, 10.0), (100, 50, 0, 300.0), (500, 250, 0, 200.0), (500, 300, 0, 10.0), (0, 0, 5000, 60000.0), (40, 15, 0, 5.81), (0, 0, 0, 0.0)]
+    rows = s.createDataFrame(cases, "fp long, fn long, err long, p99 double").withColumns({"tp": F.lit(0).cast("long"), "tn": 5000 - F.col("fp") - F.col("fn") - F.col("err")})
+    scored = evaluate.contest_score(rows)
+    return scored.select("fp", "fn", "err", "p99", "weighted_errors", *[F.round(c, 2).alias(c) for c in ("p99_score", "detection_score", "final_score")])
+
+
+@query
+def q_p99(s: SparkSession, d: str) -> DataFrame:
+    return adapters.table(s, d, "events").groupBy("event_type").agg(F.round(F.percentile("value", F.lit(0.99)), 6).alias("p99"))
+
+
+@query
+def q_dataset_stats(s: SparkSession, d: str) -> DataFrame:
+    score = F.col("fraud_score")
+    return evaluate.dataset_stats(_votes(s, d).select(approved(score).alias("expected_approved"), score.alias("expected_fraud_score")))
+
+
+@query
+def q_ramp_requests(s: SparkSession, d: str) -> DataFrame:
+    return evaluate.ramp_requests(s.createDataFrame([(1, 60, 450), (2, 60, 900), (3, 30, 901)], "stage int, duration long, target long"), 1)
+
+
+@query
+def q_stratified_sample(s: SparkSession, d: str) -> DataFrame:
+    return training.first_of_each_class(adapters.vectors(s, d), 100).select("y", "event_id")
+
+
+@query
+def q_false_positives_top20(s: SparkSession, d: str) -> DataFrame:
+    rows = adapters.vectors(s, d).withColumn("points", models.risk_points())
+    return rows.where((models.fast_path(F.col("points")) == "legit_fast") & (F.col("y") == 1)).orderBy("event_id").limit(20).select("event_id", "points", "d0", "d11")
+
+
+@query
+def q_results_upsert(s: SparkSession, d: str) -> DataFrame:
+    v = adapters.payloads(s, d)
+    old = v.where("event_id % 2 = 0").select("event_id", "k", F.lit("old").alias("origin"))
+    new = v.where("event_id % 3 = 0").select("event_id", (F.col("k") + 1).alias("k"), F.lit("new").alias("origin"))
+    return sinks.upsert(old, new, ["event_id"])
+
+
+@query
+def q_round_robin(s: SparkSession, d: str) -> DataFrame:
+    return adapters.table(s, d, "events").groupBy(scalar.round_robin(F.col("event_id"), 2).alias("node")).agg(F.count("*").alias("n"))
+
+
+@query
+def q_json_roundtrip(s: SparkSession, d: str) -> DataFrame:
+    p = adapters.payloads(s, d)
+    text = p.select("event_id", F.to_json(F.struct(*[f.name for f in PAYLOAD.fields]), {"ignoreNullFields": "false"}).alias("body"))
+    back = text.select("event_id", F.from_json("body", PAYLOAD).alias("p")).select("event_id", "p.*")
+    unknown = ~F.array_contains(F.col("customer.known_merchants"), F.col("merchant.id"))
+    return back.select("event_id", F.round("transaction.amount", 6).alias("amount"), F.col("merchant.mcc").alias("mcc"), unknown.alias("unknown"), F.col("last_transaction").isNull().alias("first_one"))
+
+
+@query
+def q_set_union(s: SparkSession, d: str) -> DataFrame:
+    p = adapters.payloads(s, d)
+    return p.where("y = 1").select("k").union(p.where("event_id % 7 = 0").select("k")).distinct()
+
+
+@query
+def q_train_kmeans(s: SparkSession, d: str) -> DataFrame:
+    return training.kmeans_centroids(adapters.embeddings(s, d), 16)
+
+
+@query
+def q_train_svd(s: SparkSession, d: str) -> DataFrame:
+    matrix = training.truncated_svd(adapters.vectors(s, d), 8)
+    return s.createDataFrame([(i, j, x) for i, row in enumerate(matrix) for j, x in enumerate(row)], "component int, dim int, weight double")
+
+
+@query
+def q_train_lda(s: SparkSession, d: str) -> DataFrame:
+    w, w0 = models.lda_closed_form(models.Moments.of(adapters.vectors(s, d)))
+    return s.createDataFrame([(i, x) for i, x in enumerate([*w, w0])], "dim int, weight double")
+
+
+@query
+def q_train_cart(s: SparkSession, d: str) -> DataFrame:
+    return s.createDataFrame(training.train_cart(adapters.vectors(s, d)), "tree_id int, node_id int, feature int, threshold double, left int, right int, value double")
+
+
+@query
+def q_train_rf(s: SparkSession, d: str) -> DataFrame:
+    best = training.forest_search(adapters.vectors(s, d), [(10, 4), (20, 6)])
+    return s.createDataFrame([best], "trees int, depth int, threshold double, penalty long")
+
+
+@query
+def q_train_extra_trees(s: SparkSession, d: str) -> DataFrame:
+    nodes = training.train_extra_trees(adapters.vectors(s, d), trees=4, depth=5)
+    return s.createDataFrame(nodes, "tree_id int, node_id int, feature int, threshold double, left int, right int, value double")
+
+
+@query
+def q_generate(s: SparkSession, d: str) -> DataFrame:
+    p = generate.payloads(s, 2000, fraud_ratio=0.47, seed=4141, random_dates=True)
+    return vectorize(p, ["id", "profile"]).groupBy("profile").agg(F.count("*").alias("n"), F.round(F.avg("d0"), 4).alias("amount"))
+
+
+@query
+def q_stream_score(s: SparkSession, d: str) -> DataFrame:
+    return scoring.replay(s, d)
