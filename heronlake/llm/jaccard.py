@@ -6,7 +6,7 @@ prefix n-grams, pairs pass a length, a positional and a suffix filter, and each
 
 Components need no pair within one that is already connected, so pairs are made in rounds: in each n-gram's list the nodes
 where it comes first in order (the most central ones, of which hubs are taken) are paired with the rest of the list that is not
-yet connected to them; verified links join components; the next round takes the next hubs, four times as many. A list is
+yet connected to them; verified links join components; the next round takes the next hubs, sixteen times as many. A list is
 done when all that is left of it is one component. Every pair of a list has then either been filtered, verified or found
 connected, so the result is that of all pairs.
 """
@@ -33,7 +33,7 @@ PARTS = 16
 HUB_PAIRS = 2048
 #: Nodes whose texts are looked up by a broadcast; more are joined by a shuffle.
 BROADCAST_NODES = 200_000
-HUB_GROWTH = 4
+HUB_GROWTH = 16
 ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
 
 _words = Bounded(xxhash.xxh3_64_intdigest, 300_000)
@@ -179,8 +179,7 @@ def _join(docs: DataFrame, n: int, percent: int) -> DataFrame:
         F.min("doc_id").alias("low"), F.min(F.struct("doc_id", "h")).alias("key"), F.first("n_shingles").alias("n"), F.first("prefix").alias("prefix"), F.first("parts").alias("parts")
     )
     nodes = tables.write(grouped.withColumn("id", F.monotonically_increasing_id()), "nodes")
-    links = _links(docs, nodes, tables, n, percent)
-    labels = components(links, tables, "final")
+    links, labels = _links(docs, nodes, tables, n, percent)
 
     plain = nodes.select("set_hash", "id", "low")
     labelled = plain.join(labels, plain.id == labels.node)
@@ -192,8 +191,8 @@ def _join(docs: DataFrame, n: int, percent: int) -> DataFrame:
     return out.select("doc_id", "h", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
-def _links(docs: DataFrame, nodes: DataFrame, tables: Tables, n: int, percent: int) -> DataFrame:
-    """a, b: verified links between nodes that connect every component."""
+def _links(docs: DataFrame, nodes: DataFrame, tables: Tables, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Verified links (a, b) between nodes that connect every component, and the components (node, root)."""
     posted = nodes.select("id", "n", F.posexplode("prefix").alias("pos", "token"))
     shared = posted.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token")
     lists = tables.write(posted.join(shared, "token").withColumn("root", F.col("id")), "lists0")
@@ -229,8 +228,9 @@ def _links(docs: DataFrame, nodes: DataFrame, tables: Tables, n: int, percent: i
             sets = more if sets is None else sets.union(more)
             verified = tables.write(_verify(pairs, sets, percent), f"verified{i}")
             done = verified if done is None else done.union(verified)
-            links = done.where("linked").select("a", "b")
-            labels = components(links, tables, f"round{i}")
+            if not verified.where("linked").isEmpty():
+                links = done.where("linked").select("a", "b")
+                labels = components(links, tables, f"round{i}")
         if i > 0:  # these hubs have met all of their lists
             lists = lists.join(top.select("token", "id"), ["token", "id"], "left_anti")
             hubs *= HUB_GROWTH
@@ -242,5 +242,6 @@ def _links(docs: DataFrame, nodes: DataFrame, tables: Tables, n: int, percent: i
         tables.drop(f"lists{i}")
         i += 1
     if links is None:
-        links = nodes.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
-    return links
+        none = nodes.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
+        return none, none.toDF("node", "root")
+    return links, labels
