@@ -71,19 +71,21 @@ def _find(docs: DataFrame, items: DataFrame, window: int) -> DataFrame:
     windows = tables.write(_item_windows(items, window), "windows")
     shingles = windows.select(F.explode(F.expr(SHINGLES)).alias("s")).select("s.*").distinct()
     shingles = tables.write(shingles.select("a", "b", F.monotonically_increasing_id().alias("id")), "shingles")
-    known = shingles.union(docs.sparkSession.createDataFrame([("", "", -1)], shingles.schema))
     n_known, n_single = shingles.agg(F.count("*"), F.count_if(F.col("b") == "")).first()
-    if n_known <= BROADCAST_SHINGLES:
-        known = F.broadcast(known)
+    few = n_known <= BROADCAST_SHINGLES
+    # The key of a document's mark is joined where a broadcast finds it; a shuffle would bring all marks to one task.
+    known = F.broadcast(shingles.union(docs.sparkSession.createDataFrame([("", "", -1)], shingles.schema))) if few else shingles
 
     # One pass over the texts. The pair that ends with the last fence has no second word and stands for the document.
     cut = docs.select("doc_id", F.xxhash64("text").alias("h"), words(F.col("text")).alias("w"))
     pairs = cut.select("doc_id", "h", F.posexplode(F.expr("arrays_zip(w, slice(w, 2, size(w)))")).alias("pos", "p"))
     pairs = pairs.select("doc_id", "h", "pos", F.expr("if(p.`1` is null, '', p.w)").alias("a"), F.expr("coalesce(p.`1`, '')").alias("b"))
     found = pairs.join(known, ["a", "b"]).select("doc_id", "h", F.expr("pos - 1").alias("pos"), "id", F.lit(False).alias("alone"))
+    if not few:
+        found = found.union(cut.select("doc_id", "h", F.expr("size(w) - 2"), F.lit(-1).cast("long"), F.lit(False)))
     if n_single:
         alone = shingles.where("b = ''").select("a", "id")
-        if n_known <= BROADCAST_SHINGLES:
+        if few:
             alone = F.broadcast(alone)
         one = cut.select("doc_id", "h", F.posexplode("w").alias("pos", "a")).join(alone, "a")
         found = found.union(one.select("doc_id", "h", F.expr("pos - 1"), "id", F.lit(True)))
@@ -102,7 +104,9 @@ def _find(docs: DataFrame, items: DataFrame, window: int) -> DataFrame:
     asked = asked.groupBy("id").agg(F.collect_list("ask").alias("asks"))
 
     # Per document: its shingles in order; a candidate's shingles are the slice around the rarest.
-    met = found.join(asked, "id", "left")
+    # The documents' own marks, one for each, need no join: as one key they would meet in one task.
+    marks = found.where("id < 0").withColumn("asks", F.lit(None).cast(asked.schema["asks"].dataType))
+    met = found.where("id >= 0").join(asked, "id", "left").unionByName(marks)
     per = met.groupBy("doc_id", "h").agg(
         F.max(F.expr("if(id < 0, pos, 0)")).cast("long").alias("n_words"),
         F.count_if(F.col("id") < 0).cast("int").alias("times"),
