@@ -30,8 +30,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of the texts and their digests, with the digest of the decoded bytes."""
-    file, pattern = queries.tokenizer(queries.BPE_FILE), queries.pattern()
-    return queries.bpe_digest(bpe.decode(bpe.encode(docs, file, pattern), file, pattern))
+    return queries.bpe_digest(bpe.round_trip(docs, queries.tokenizer(queries.BPE_FILE), queries.pattern()))
 
 
 STAGES = [

@@ -21,10 +21,10 @@ import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 
-from .common import Bounded, by_batch, pick
+from .common import Bounded, by_batch, hold, pick
 
-#: Pre-tokens, and space-led groups of pre-tokens, that a worker remembers.
-REMEMBERED = 300_000
+#: Pre-tokens, space-led groups of pre-tokens, and pairs of tokens that a worker remembers; of the first two, twice as many at most.
+REMEMBERED, REMEMBERED_GROUPS, REMEMBERED_PAIRS = 120_000, 60_000, 300_000
 
 
 def read_ranks(content: bytes) -> dict[bytes, int]:
@@ -78,7 +78,7 @@ class Vocabulary:
                 latest, left = left, lh[1]
             else:  # of equal ranks the left one was merged first; and one across comes before its right neighbour
                 latest, right = right + 1, rh[0]
-        if len(self.known) > 1_000_000:
+        if len(self.known) > REMEMBERED_PAIRS:
             self.known.clear()
         self.known[a << 20 | b] = good
         return good
@@ -131,7 +131,7 @@ class Codec:
         # characters starts a pre-token, whatever stands further off. This holds for the public patterns;
         # for others, whole texts are cut.
         self.cuts = pattern.count(" ") == pattern.count(" ?") and pattern.endswith(r"|\s+(?!\S)|\s+")
-        self.groups = Bounded(lambda x: b"".join(map(self.pack.__getitem__, self.pattern.findall(x))), REMEMBERED)
+        self.groups = Bounded(lambda x: b"".join(map(self.pack.__getitem__, self.pattern.findall(x))), REMEMBERED_GROUPS)
 
     def piece(self, content: bytes) -> list[int]:
         whole = self.vocabulary.ranks.get(content)
@@ -163,8 +163,11 @@ class Codec:
         return list(struct.unpack(f"<{len(packed) // 4}I", packed))
 
     def decode_packed(self, packed: bytes) -> bytes:
-        of = self.vocabulary.bytes_of
-        return b"".join([of[i] for i in memoryview(packed).cast("I")])
+        return join_tokens(packed, self.vocabulary.bytes_of)
+
+
+def join_tokens(packed: bytes, of: dict[int, bytes]) -> bytes:
+    return b"".join([of[i] for i in memoryview(packed).cast("I")])
 
 
 ODD_SPACE = regex.compile(r" \s|\s |^ | $")
@@ -218,14 +221,28 @@ class EditableText:
         return list(struct.unpack(f"<{len(packed) // 4}I", packed))
 
 
-@lru_cache(2)
-def codec(path: str, pattern: str) -> Codec:
-    """The codec of a worker, made once. path: a file on every machine, or one that addFile() has sent."""
+def _ranks(path: str) -> dict[bytes, int]:
+    """path: a file on every machine, or one that addFile() has sent."""
     try:
         content = open(path, "rb").read()
     except FileNotFoundError:
         content = open(SparkFiles.get(path.rpartition("/")[2]), "rb").read()
-    return Codec(read_ranks(content), pattern)
+    return read_ranks(content)
+
+
+@lru_cache(1)
+def codec(path: str, pattern: str) -> Codec:
+    """The codec of a worker, made once."""
+    return Codec(_ranks(path), pattern)
+
+
+hold(__name__, codec.cache_clear)
+
+
+@lru_cache(1)
+def token_bytes(path: str) -> dict[int, bytes]:
+    """What a worker needs for decoding."""
+    return {i: t for t, i in _ranks(path).items()}
 
 
 def encode(docs: DataFrame, vocabulary: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -243,16 +260,27 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, doc_id: str = "doc_id
     return by_batch(docs, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids binary", run)
 
 
-def decode(encoded: DataFrame, vocabulary: str, pattern: str, keep: tuple[str, ...] = ("doc_id", "ids")) -> DataFrame:
+def decode(encoded: DataFrame, vocabulary: str, keep: tuple[str, ...] = ("doc_id", "ids")) -> DataFrame:
     """The columns to keep and decoded: the bytes that ids stand for; null ids give no bytes. An id outside the
     vocabulary is an error."""
     source = pick(encoded, **{k: k for k in dict.fromkeys((*keep, "ids"))})
     names = source.columns
 
     def run(batch: pa.RecordBatch) -> list[pa.Array]:
-        c = codec(vocabulary, pattern)
-        ids = batch.column(names.index("ids")).to_pylist()
-        return [*[batch.column(names.index(k)) for k in keep], pa.array([c.decode_packed(x or b"") for x in ids], pa.binary())]
+        of, ids = token_bytes(vocabulary), batch.column(names.index("ids")).to_pylist()
+        return [*[batch.column(names.index(k)) for k in keep], pa.array([join_tokens(x or b"", of) for x in ids], pa.binary())]
 
     types = ", ".join(f"{k} {source.schema[k].dataType.simpleString()}" for k in keep)
     return by_batch(source, f"{types}, decoded binary", run)
+
+
+def round_trip(docs: DataFrame, vocabulary: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, ids, decoded: encode() and decode() in one worker, for checking a corpus without handing the ids over twice."""
+
+    def run(batch: pa.RecordBatch) -> list[pa.Array]:
+        c, of = codec(vocabulary, pattern), token_bytes(vocabulary)
+        ids = [c.encode_packed(x or "") for x in batch.column(1).to_pylist()]
+        return [batch.column(0), pa.array(ids, pa.binary()), pa.array([join_tokens(x, of) for x in ids], pa.binary())]
+
+    docs = pick(docs, doc_id=doc_id, text=text)
+    return by_batch(docs, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids binary, decoded binary", run)

@@ -8,6 +8,8 @@ are answered as often as they occur; empty tables give empty results with the sa
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -54,30 +56,78 @@ class Tables:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def by_batch(df: DataFrame, schema: str, function: Callable[[pa.RecordBatch], list[pa.Array]], rows: int = 512) -> DataFrame:
+#: Rows that Spark hands to a Python worker at once; its default of 10,000 whole texts would be held several times over.
+BATCH_ROWS = 512
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batches to BATCH_ROWS rows, unless they are smaller."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
+_held: dict[str, list[Callable[[], None]]] = {}
+_owner = ""
+
+
+def hold(owner: str, free: Callable[[], None]) -> None:
+    """Registers, as a module is imported, what frees the memory that its operator keeps in a worker from task to task."""
+    _held.setdefault(owner, []).append(free)
+
+
+def only(owner: str) -> None:
+    """A worker serves one operator after another: when another begins, what the earlier ones kept is freed and
+    handed back to the system."""
+    global _owner
+    if owner != _owner:
+        for other, frees in _held.items():
+            for free in frees if other != owner else ():
+                free()
+        _owner = owner
+        hand_back()
+
+
+def hand_back() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def by_batch(df: DataFrame, schema: str, function: Callable[[pa.RecordBatch], list[pa.Array]], rows: int = BATCH_ROWS) -> DataFrame:
     """mapInArrow in slices of so many rows; function gives the output columns of a slice. Memory is bounded
     by the slice, not by the partition."""
 
+    owner = function.__module__
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only(owner)
         for batch in batches:
             for at in range(0, batch.num_rows, rows):
-                part = batch.slice(at, rows)
-                columns, names = function(part), names_of
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+                yield pa.RecordBatch.from_arrays(function(batch.slice(at, rows)), names=names_of)
+        pa.default_memory_pool().release_unused()
 
     names_of = [x.split()[0] for x in _fields(schema)]
+    small_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
-def filter_rows(df: DataFrame, keep: Callable[[pa.RecordBatch], list[bool]], rows: int = 512) -> DataFrame:
+def filter_rows(df: DataFrame, keep: Callable[[pa.RecordBatch], list[bool]], rows: int = BATCH_ROWS) -> DataFrame:
     """The rows, with all their columns, for which keep says so."""
 
+    owner = keep.__module__
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only(owner)
         for batch in batches:
             for at in range(0, batch.num_rows, rows):
                 part = batch.slice(at, rows)
                 yield part.filter(pa.array(keep(part), pa.bool_()))
 
+    small_batches(df.sparkSession)
     return df.mapInArrow(run, df.schema)
 
 
@@ -119,3 +169,7 @@ class Bounded(dict):
             value = self.compute(key)
         self[key] = value
         return value
+
+    def forget(self) -> None:
+        self.clear()
+        self.older = {}

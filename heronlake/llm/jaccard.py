@@ -22,21 +22,22 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Bounded, Tables, by_batch, pick, without
+from .common import Bounded, Tables, by_batch, hold, only, pick, small_batches, without
 from .components import components
 
 #: Cells of the table of n-gram counts, by which rare ones come first. Cells are shared by hash, which changes the order, not the result.
 CELL_BITS, CHUNK_BITS = 20, 12
 #: Parts that fixed pivots cut from the hash range, for the suffix filter.
 PARTS = 16
-#: Pairs of one hub that one task verifies together.
-HUB_PAIRS = 2048
+#: N-grams in the sets that are compared with one hub's in one group: 4 MB of hashes.
+GROUP_SHINGLES = 1 << 19
 #: Nodes whose texts are looked up by a broadcast; more are joined by a shuffle.
 BROADCAST_NODES = 200_000
 HUB_GROWTH = 16
 ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
 
-_words = Bounded(xxhash.xxh3_64_intdigest, 300_000)
+_words = Bounded(xxhash.xxh3_64_intdigest, 100_000)
+hold(__name__, _words.forget)
 
 
 def shingle_set(text: str | None, n: int = 4) -> np.ndarray:
@@ -64,6 +65,7 @@ def _counts(docs: DataFrame, n: int) -> np.ndarray:
     chunk = 1 << CHUNK_BITS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only(__name__)
         cells = np.zeros(1 << CELL_BITS, np.int64)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
@@ -80,6 +82,7 @@ def _counts(docs: DataFrame, n: int) -> np.ndarray:
                 sums[i] = sums.get(i, 0) + np.frombuffer(zlib.decompress(data), np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["part", "cells"])
 
+    small_batches(docs.sparkSession)
     met = docs.select("text").mapInArrow(count, "part int, cells binary").repartition("part").mapInArrow(add, "part int, cells binary")
     table = np.zeros((1 << CELL_BITS) // chunk * chunk, np.int64).reshape(-1, chunk)
     for row in met.collect():
@@ -120,8 +123,9 @@ def _texts_as_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """a, b, linked. Pairs are grouped by a, a hub's in groups of bounded size to each of which its set is sent."""
-    groups = pairs.groupBy("a").agg(F.ceil(F.count("*") / HUB_PAIRS).alias("groups"))
+    """a, b, linked of pairs (a, b, nb), nb the size of b's set. Pairs are grouped by a, a hub's in groups of bounded size to each of
+    which its set is sent."""
+    groups = pairs.groupBy("a").agg(F.ceil(F.sum("nb") / GROUP_SHINGLES).alias("groups"))
     dealt = pairs.join(groups, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("groups")).alias("group"))
     hubs = groups.join(sets, groups.a == sets.id).select(F.col("a").alias("hub"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("part"), F.col("s").alias("hub_s"))
     others = dealt.join(sets, dealt.b == sets.id).select("a", "group", "b", F.col("s").alias("other_s"))
@@ -217,7 +221,7 @@ def _links(docs: DataFrame, nodes: DataFrame, tables: Tables, n: int, percent: i
         pairs = pairs.join(half.toDF("a", "na", "pa"), "a").join(half.toDF("b", "nb", "pb"), "b")
         # Suffix filter: how far the sizes of the parts differ is a lower bound for the symmetric difference.
         apart = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
-        pairs = pairs.where((100 + percent) * (F.col("na") + F.col("nb") - apart) >= 2 * percent * (F.col("na") + F.col("nb"))).select("a", "b")
+        pairs = pairs.where((100 + percent) * (F.col("na") + F.col("nb") - apart) >= 2 * percent * (F.col("na") + F.col("nb"))).select("a", "b", "nb")
         pairs = tables.write(pairs, f"pairs{i}")
         if not pairs.isEmpty():
             wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()

@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import by_batch, filter_rows, pick
+from .common import by_batch, filter_rows, hold, pick
 
 UNDETERMINED = "und"
 LETTER, OTHERS = regex.compile(r"\p{L}"), regex.compile(r"[^\p{L}]+")
@@ -87,11 +87,14 @@ class Classifier:
         return self.langs[best], min(1.0, share / 0.1), share < MARGIN
 
 
-@lru_cache(4)
+@lru_cache(1)
 def _classifier(packed: tuple[tuple[str, bytes], ...]) -> Classifier:
     return Classifier(dict(packed))
 
 
+hold(__name__, _classifier.cache_clear)
+
+
 def predict(docs: DataFrame, dictionaries: dict[str, bytes], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, lang_pred, score, rejected; one row for each row, in one pass over whole texts.
 

@@ -99,8 +99,7 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    file = tokenizer(BPE_FILE)
-    return bpe_digest(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), file, pattern()), file, pattern()))
+    return bpe_digest(bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer(BPE_FILE), pattern()))
 
 
 def bpe_digest(decoded: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 
-from .common import Bounded, by_batch, pick
+from .common import Bounded, by_batch, hold, pick
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0  # fixed by the tokenizer
@@ -123,6 +123,9 @@ def model(path: str) -> Unigram:
     return read_model(content)
 
 
+hold(__name__, model.cache_clear)
+
+
 def count_tokens(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_tokens, score: pieces and score of the best path through the whole text, one row for each row.
 
