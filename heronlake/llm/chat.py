@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -53,48 +53,41 @@ def end_state(roles: Column, template: Template) -> Column:
 
 
 def format_conversations(rows: DataFrame, template: Template | None = None) -> DataFrame:
-    """conv_id, segments array<struct<text, loss>>, formatted, valid; one row for each conversation.
+    """conv_id, segments array<struct<text, loss>>, formatted, loss_spans array<struct<start, end>>, valid; one row for each
+    conversation. Spans are code points of formatted, end exclusive.
 
     rows: conv_id, turn, role, text. Rows are put in order of turn, role, text, nulls first; repeated rows are repeated turns.
     Null roles and texts count as empty; null conv_ids are one conversation. Whatever the order of roles, the conversation
-    is formatted; valid says whether the state machine accepts it. A conversation's text is one value, so its
-    rows meet in one task, as the result does."""
+    is formatted; valid says whether the state machine accepts it. Offsets are running sums over the sorted rows, so time grows with
+    a conversation's length and not its square. A conversation's text is one value: its rows meet in one task, as the result does."""
     t = template or Template()
-    turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    whole = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+    head = F.concat(F.lit(t.start), escape(F.col("role"), t.role_escapes), F.lit(t.between))
+    turns = rows.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    turns = turns.withColumns({"head": head, "body": escape(F.col("text"), t.escapes)})
+    before = Window.partitionBy("conv_id").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, -1)
+    size = F.length("head") + F.length("body") + len(t.end)
+    turns = turns.withColumn("at", F.coalesce(F.sum(size).over(before), F.lit(0)).cast("long"))
+    whole = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text", "at", "head", "body"))).alias("turns"))
 
     def segment(text: Column, loss: Column) -> Column:
         return F.struct(text.alias("text"), loss.alias("loss"))
 
     def of_turn(x: Column) -> Column:
-        head = F.concat(F.lit(t.start), escape(x["role"], t.role_escapes), F.lit(t.between))
-        return F.array(
-            segment(head, F.lit(False)),
-            segment(escape(x["text"], t.escapes), x["role"].isin(*t.learned)),
-            segment(F.lit(t.end), F.lit(False)),
-        )
+        return F.array(segment(x["head"], F.lit(False)), segment(x["body"], x["role"].isin(*t.learned)), segment(F.lit(t.end), F.lit(False)))
+
+    def span(x: Column) -> Column:
+        start = x["at"] + F.length(x["head"])
+        return F.struct(start.alias("start"), (start + F.length(x["body"])).alias("end"))
 
-    made = whole.withColumn("segments", F.flatten(F.transform("turns", of_turn)))
-    return made.select(
+    return whole.select(
         "conv_id",
-        "segments",
-        F.array_join(F.transform("segments", lambda x: x["text"]), "").alias("formatted"),
+        F.flatten(F.transform("turns", of_turn)).alias("segments"),
+        F.array_join(F.transform("turns", lambda x: F.concat(x["head"], x["body"], F.lit(t.end))), "").alias("formatted"),
+        F.transform(F.filter("turns", lambda x: x["role"].isin(*t.learned)), span).alias("loss_spans"),
         F.coalesce(end_state(F.transform("turns", lambda x: x["role"]), t).isin(*t.final), F.lit(False)).alias("valid"),
     )
 
 
-def loss_spans(segments: Column) -> Column:
-    """Where the learned segments are in the formatted text: array of struct<start, end>, in code points."""
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)").alias("out"))
-
-    def add(state: Column, x: Column) -> Column:
-        end = state["at"] + F.length(x["text"])
-        span = F.array(F.struct(state["at"].alias("start"), end.alias("end")))
-        return F.struct(end.alias("at"), F.when(x["loss"], F.concat(state["out"], span)).otherwise(state["out"]).alias("out"))
-
-    return F.aggregate(segments, zero, add, lambda s: s["out"])
-
-
 def read_back(formatted: Column, template: Template | None = None) -> Column:
     """The turns, array of struct<role, text>, that a formatted text holds."""
     t = template or Template()

@@ -140,11 +140,13 @@ def test_chat_round_trip_and_loss(spark):
     rows = [(c, t, r.choice(["user", "assistant", "system", say(), None]), r.choice([say(), None])) for c in range(60) for t in range(r.randint(1, 5))]
     rows += [(1, 0, "user", "same"), (1, 0, "user", "same"), (None, None, "user", "x")]
     made = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
-    found = made.select("conv_id", "formatted", chat.read_back(F.col("formatted")).alias("turns"), chat.loss_spans(F.col("segments")).alias("spans")).collect()
+    found = made.select("conv_id", "formatted", chat.read_back(F.col("formatted")).alias("turns"), "segments", F.col("loss_spans").alias("spans")).collect()
     assert len(found) == 61
     for x in found:
         own = sorted((t is not None, t or 0, role or "", text or "") for c, t, role, text in rows if c == x.conv_id)
         assert [tuple(t) for t in x.turns] == [(o[2], o[3]) for o in own]
+        assert "".join(s.text for s in x.segments) == x.formatted
+        assert [s.text for s in x.segments if s.loss] == [x.formatted[s.start : s.end] for s in x.spans]
         learned = [x.formatted[s.start : s.end].replace("&lt;|", "<|").replace("&amp;", "&") for s in x.spans]
         assert learned == [o[3] for o in own if o[2] == "assistant"]
 
