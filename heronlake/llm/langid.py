@@ -17,6 +17,8 @@ UNDETERMINED = "und"
 LETTER, OTHERS = regex.compile(r"\p{L}"), regex.compile(r"[^\p{L}]+")
 #: Bounds of the training sample: so many documents a language, so many characters of each, so many bytes of dictionary.
 SAMPLE_ROWS, SAMPLE_CHARS, DICTIONARY_BYTES = 400, 1500, 32 * 1024
+#: Language counts up to which they are broadcast, so that rows are cut before the shuffle.
+FEW_LANGUAGES = 10_000
 #: Texts are compressed in blocks of so many bytes, each with the dictionary alone before it. After the last block comes
 #: the end of the dictionary: else short texts, which gain less than a header, would all be stored as they are.
 BLOCK_BYTES, TAIL_BYTES = 4096, 256
@@ -42,7 +44,11 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
     dictionaries are bounded by the parameters and the number of languages, whatever the number of documents."""
     labelled = pick(docs, doc_id=doc_id, text=text, lang=lang)
     labelled = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    keyed = labelled.select("lang", F.xxhash64("doc_id", "lang").alias("h"), "doc_id")
+    keyed = labelled.select("lang", F.pmod(F.xxhash64("doc_id", "lang"), F.lit(1 << 30)).alias("h"), "doc_id")
+    # Hashes are even: a cut at four times the wanted share leaves enough, and little of a frequent language to sort.
+    counts = keyed.groupBy("lang").agg(F.count("*").alias("n"))
+    few = counts.limit(FEW_LANGUAGES + 1).count() <= FEW_LANGUAGES
+    keyed = keyed.join(F.broadcast(counts) if few else counts, "lang").where(F.col("h") / float(1 << 30) * F.col("n") < 4.0 * rows).drop("n")
     place = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
     chosen = keyed.withColumn("place", place).where(F.col("place") <= rows).select("lang", "doc_id", "h").distinct()
     texts = labelled.join(F.broadcast(chosen), ["lang", "doc_id"]).select("lang", "h", F.substring("text", 1, chars).alias("text"))
