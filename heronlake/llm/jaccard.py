@@ -8,7 +8,10 @@ Components need no pair within one that is already connected, so pairs are made
 where it comes first in order (the most central ones, of which hubs are taken) are paired with the rest of the list that is not
 yet connected to them; verified links join components; the next round takes the next hubs, sixteen times as many. A list is
 done when all that is left of it is one component. Every pair of a list has then either been filtered, verified or found
-connected, so the result is that of all pairs.
+connected, so the components are those of all pairs.
+
+Links lie within components, so once these are known every pair of a component whose lengths allow it is verified, block by
+block: the links are counted in full, whatever the hubs were.
 """
 
 from __future__ import annotations
@@ -34,6 +37,8 @@ GROUP_SHINGLES = 1 << 19
 #: Nodes whose texts are looked up by a broadcast; more are joined by a shuffle.
 BROADCAST_NODES = 200_000
 HUB_GROWTH = 16
+#: N-grams, and nodes, in one block of a component; two blocks meet in one group.
+BLOCK_SHINGLES, BLOCK_NODES = 1 << 19, 1 << 10
 ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
 
 _words = Bounded(xxhash.xxh3_64_intdigest, 100_000)
@@ -151,9 +156,9 @@ def join(docs: DataFrame, n: int = 4, percent: int = 85, doc_id: str = "doc_id",
 
     Two documents link when their sets' Jaccard similarity is at least percent / 100; component_id is the smallest doc_id that
     links reach, itself included. Null, empty and blank texts have no n-grams and link with nothing. Repeated rows link like
-    others; null ids join components but name one only if it has no other id. n_links counts the links that were verified for
-    the row's set, which are enough to connect a component; copies of a set are not expanded into pairs. Memory of a task is bounded
-    by one document, and one hub's group of pairs."""
+    others; null ids join components but name one only if it has no other id. n_links is the number of other rows that the row
+    links with: every pair of different sets is verified, and copies of a set count as often as they occur without being
+    expanded into pairs. Memory of a task is bounded by one document, one hub's group of pairs, and two blocks."""
     return _join(pick(docs, doc_id=doc_id, text=text), n, percent).drop("h")
 
 
@@ -180,23 +185,24 @@ def _join(docs: DataFrame, n: int, percent: int) -> DataFrame:
     counts = _counts(docs, n)
     rows = tables.write(_sets(docs.select("doc_id", "h", "text"), n, percent, counts), "rows")
     grouped = rows.where("set_hash is not null").groupBy("set_hash").agg(
-        F.min("doc_id").alias("low"), F.min(F.struct("doc_id", "h")).alias("key"), F.first("n_shingles").alias("n"), F.first("prefix").alias("prefix"), F.first("parts").alias("parts")
+        F.min("doc_id").alias("low"), F.min(F.struct("doc_id", "h")).alias("key"), F.count("*").alias("copies"), F.first("n_shingles").alias("n"), F.first("prefix").alias("prefix"), F.first("parts").alias("parts")
     )
     nodes = tables.write(grouped.withColumn("id", F.monotonically_increasing_id()), "nodes")
-    links, labels = _links(docs, nodes, tables, n, percent)
+    labels, sets = _links(docs, nodes, tables, n, percent)
 
-    plain = nodes.select("set_hash", "id", "low")
+    plain = nodes.select("set_hash", "id", "low", "copies")
     labelled = plain.join(labels, plain.id == labels.node)
     lowest = labelled.groupBy("root").agg(F.min("low").alias("component"))
-    degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
-    linked = labelled.join(lowest, "root").join(degree, "id", "left").select("set_hash", "component", "n_links")
-    named = plain.join(linked, "set_hash", "left").select("set_hash", F.coalesce("component", "low").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    degree = tables.write(_degrees(nodes, labels, sets, percent), "degree")
+    linked = labelled.join(lowest, "root").join(degree, "id", "left").select("set_hash", "component", "met")
+    n_links = F.col("copies") - 1 + F.coalesce("met", F.lit(0))
+    named = plain.join(linked, "set_hash", "left").select("set_hash", F.coalesce("component", "low").alias("component"), n_links.alias("n_links"))
     out = rows.select("doc_id", "h", "n_shingles", "set_hash").join(named, "set_hash", "left")
     return out.select("doc_id", "h", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def _links(docs: DataFrame, nodes: DataFrame, tables: Tables, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Verified links (a, b) between nodes that connect every component, and the components (node, root)."""
+    """The components (node, root) of the nodes that link, and sets (id, s) with all of these nodes."""
     posted = nodes.select("id", "n", F.posexplode("prefix").alias("pos", "token"))
     shared = posted.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token")
     lists = tables.write(posted.join(shared, "token").withColumn("root", F.col("id")), "lists0")
@@ -246,6 +252,53 @@ def _links(docs: DataFrame, nodes: DataFrame, tables: Tables, n: int, percent: i
         tables.drop(f"lists{i}")
         i += 1
     if links is None:
-        none = nodes.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
-        return none, none.toDF("node", "root")
-    return links, labels
+        none = nodes.select("id", "id", "set_hash").limit(0)
+        return none.toDF("node", "root", "s").drop("s"), none.toDF("id", "root", "s").drop("root")
+    return labels, sets
+
+
+def _degrees(nodes: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """id, met: how many rows have a set that links with the node's, its own apart. Each component is dealt to blocks, each block
+    meets each, and every pair is verified once."""
+    least = BLOCK_SHINGLES // BLOCK_NODES
+    sized = labels.join(nodes.select("id", "n", "copies"), F.col("node") == F.col("id")).select("root", "id", "n", "copies")
+    # At most one root for each block of n-grams has several.
+    many = sized.groupBy("root").agg(F.ceil(F.sum(F.greatest("n", F.lit(least))) / BLOCK_SHINGLES).alias("blocks")).where("blocks > 1")
+    dealt = sized.join(F.broadcast(many), "root", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long")))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))).join(sets, "id")
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
+    met = dealt.select("root", "id", "copies", "block", "s", other).select("root", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "id", "copies", "s")
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        low, high = key[1].as_py(), key[2].as_py()
+        size = np.array([len(x.as_buffer()) // 8 for x in rows["s"]], np.int64)
+        order = np.argsort(size, kind="stable")
+        rows, size = rows.take(pa.array(order)), size[order]
+        block, copies = rows["block"].to_numpy(), rows["copies"].to_numpy()
+        # N-grams as small numbers, without those that only one of the sets holds.
+        _, number, held = np.unique(np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in rows["s"]]), return_inverse=True, return_counts=True)
+        shared = held[number] > 1
+        owner = np.repeat(np.arange(len(size)), size)[shared]
+        number, start = number[shared], np.searchsorted(owner, np.arange(len(size) + 1))
+        right = np.flatnonzero(block == high)
+        lengths, place = size[right], np.concatenate([[0], np.cumsum((start[1:] - start[:-1])[right])])
+        flat = number[np.isin(owner, right)] if low != high else number
+        degree, mark = np.zeros(len(size), np.int64), np.zeros(len(held), bool)
+        for i in np.flatnonzero(block == low):
+            # Similar sets have similar lengths.
+            first = i + 1 if low == high else int(np.searchsorted(lengths, -(-percent * size[i] // 100)))
+            last = int(np.searchsorted(lengths, 100 * size[i] // percent, "right")) if percent else len(lengths)
+            if first >= last:
+                continue
+            own = number[start[i] : start[i + 1]]
+            mark[own] = True
+            sums = np.concatenate([[0], np.cumsum(mark[flat[place[first] : place[last]]], dtype=np.int64)])
+            mark[own] = False
+            at = place[first : last + 1] - place[first]
+            both = sums[at[1:]] - sums[at[:-1]]
+            linked = right[first:last][100 * both >= percent * (size[i] + lengths[first:last] - both)]
+            degree[i] += copies[linked].sum()
+            degree[linked] += copies[i]
+        return pa.table({"id": rows["id"], "met": pa.array(degree, pa.int64())})
+
+    return met.groupBy("root", "low", "high").applyInArrow(run, "id long, met long").groupBy("id").agg(F.sum("met").alias("met"))

@@ -63,6 +63,20 @@ def test_components_equal_brute_force(spark, seed):
     assert sorted((x.doc_id, x.n_shingles, x.component_id) for x in found.collect()) == brute_components(rows)
 
 
+@pytest.mark.parametrize("size,nodes", [(1 << 19, 1 << 10), (600, 8)])
+def test_every_link_is_counted(spark, monkeypatch, size, nodes):
+    """One hub is enough to connect a group; the links between its other members count all the same, in one block or in many."""
+    monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", size)
+    monkeypatch.setattr(jaccard, "BLOCK_NODES", nodes)
+    texts = near_copies(4, groups=3, size=25) + ["", None, "one", "ONE", "a b c"] + ["the very same line of text"] * 5
+    texts += texts[:7] + [texts[0]]
+    sets = [shingles(t) for t in texts]
+    alike = lambda x, y: bool(x and y) and 100 * len(x & y) >= 85 * len(x | y)
+    wanted = [(i, sum(alike(x, y) for j, y in enumerate(sets) if j != i)) for i, x in enumerate(sets)]
+    found = jaccard.join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert sorted((x.doc_id, x.n_links) for x in found.collect()) == wanted
+
+
 def test_a_star_that_needs_many_rounds(spark):
     """Sets that share their rarest n-grams without being similar stay apart, similar ones among them meet."""
     common = " ".join(f"c{i}" for i in range(20))
