@@ -41,7 +41,8 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
     """A dictionary for each language, from documents that are not held out and have a language and letters.
 
     The sample is the rows with the smallest hashes of each language, chosen by id before any text is moved; it and the
-    dictionaries are bounded by the parameters and the number of languages, whatever the number of documents."""
+    dictionaries are bounded by the parameters and the number of languages, whatever the number of documents. Languages with
+    text for a whole dictionary have equal sizes; one with less keeps all it has, and takes nothing from the others."""
     labelled = pick(docs, doc_id=doc_id, text=text, lang=lang)
     labelled = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
     keyed = labelled.select("lang", F.pmod(F.xxhash64("doc_id", "lang"), F.lit(1 << 30)).alias("h"), "doc_id")
@@ -57,9 +58,7 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
     for row in each.orderBy("lang", "h").collect():  # rows x languages, bounded
         if LETTER.search(row["text"]):
             by_lang.setdefault(row["lang"], []).append(normal(row["text"]))
-    # Of equal size for all languages, so that none gains by the amount of its text.
-    least = min((sum(map(len, x)) for x in by_lang.values()), default=0)
-    return {k: b"\n".join(x)[: min(size, max(least, 1024))] for k, x in sorted(by_lang.items())}
+    return {k: b"\n".join(x)[:size] for k, x in sorted(by_lang.items())}
 
 
 class Classifier:

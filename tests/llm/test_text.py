@@ -128,6 +128,13 @@ def test_languages_held_out(spark):
     assert langid.keep_identified(docs, d).count() >= 230 and langid.predict(docs.limit(0), d).count() == 0
 
 
+def test_a_rare_language_does_not_cut_the_others(spark):
+    rows = corpus(1, 240)
+    plain = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    rare = langid.fit(spark.createDataFrame([*rows, (9004, "one odd label", "qq")], "doc_id long, text string, lang string"))
+    assert rare.pop("qq") == b"one odd label" and rare == plain and min(map(len, plain.values())) > 10_000
+
+
 def test_without_labelled_documents(spark):
     docs = spark.createDataFrame([(1, "some text", None)], "doc_id long, text string, lang string")
     assert langid.fit(docs) == {} and langid.predict(docs, {}).first().lang_pred == "und"
