@@ -463,7 +463,7 @@ def q_train_extra_trees(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def q_generate(s: SparkSession, d: str) -> DataFrame:
-    p = generate.payloads(s, 2000, fraud_ratio=0.47, seed=4141, random_dates=True)
+    p = generate.payloads(s, 54_100, fraud_ratio=0.47, seed=4141, random_dates=True)
     return vectorize(p, ["id", "profile"]).groupBy("profile").agg(F.count("*").alias("n"), F.round(F.avg("d0"), 4).alias("amount"))
 
 

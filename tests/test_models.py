@@ -93,3 +93,10 @@ def test_generator_is_seeded_and_mixed(spark):
     mix = {r.profile: r["count"] for r in a.groupBy("profile").count().collect()}
     assert abs(mix["legit"] - 1800) < 120 and 60 < mix["borderline"] < 190
     assert {r.label for r in generate.references(spark, 50).select("label").distinct().collect()} <= {"fraud", "legit"}
+
+
+def test_the_generated_set_has_the_size_of_the_reference(spark):
+    from heronlake.plans import catalogue
+
+    found = {x.profile: x.n for x in catalogue.queries()["q_generate"](spark, "").collect()}
+    assert sum(found.values()) == 54_100 and abs(found["legit"] / 54_100 - 0.53) < 0.01
