@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import pick
 
 @dataclass(frozen=True)
 class Template:
@@ -56,12 +57,13 @@ def format_conversations(rows: DataFrame, template: Template | None = None) -> D
     """conv_id, segments array<struct<text, loss>>, formatted, loss_spans array<struct<start, end>>, valid; one row for each
     conversation. Spans are code points of formatted, end exclusive.
 
-    rows: conv_id, turn, role, text. Rows are put in order of turn, role, text, nulls first; repeated rows are repeated turns.
+    rows: conv_id, turn, role, text; other columns are not read. An empty table has no conversations. Rows are put in order of turn, role, text, nulls first; repeated rows are repeated turns.
     Null roles and texts count as empty; null conv_ids are one conversation. Whatever the order of roles, the conversation
     is formatted; valid says whether the state machine accepts it. Offsets are running sums over the sorted rows, so time grows with
     a conversation's length and not its square. A conversation's text is one value: its rows meet in one task, as the result does."""
     t = template or Template()
     head = F.concat(F.lit(t.start), escape(F.col("role"), t.role_escapes), F.lit(t.between))
+    rows = pick(rows, conv_id="conv_id", turn="turn", role="role", text="text")
     turns = rows.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     turns = turns.withColumns({"head": head, "body": escape(F.col("text"), t.escapes)})
     before = Window.partitionBy("conv_id").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, -1)
@@ -89,7 +91,7 @@ def format_conversations(rows: DataFrame, template: Template | None = None) -> D
 
 
 def read_back(formatted: Column, template: Template | None = None) -> Column:
-    """The turns, array of struct<role, text>, that a formatted text holds."""
+    """The turns, array of struct<role, text>, that a formatted text holds; null for null, none for an empty text."""
     t = template or Template()
     pieces = F.slice(F.split(formatted, _quoted(t.start)), 2, 1 << 30)
 

@@ -1,4 +1,4 @@
-"""What the operators share: picking columns by exact name, tables in the shared folder, blocks of Arrow rows.
+"""What the operators share: picking columns by exact name, blocks of Arrow rows, joins on keys that may be hot.
 
 Rules that hold for every operator here, unless its docstring says otherwise:
 an operator reads only the columns it is given by name (exact case, the first of that name), so extra
@@ -10,14 +10,16 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import Tables, scope, shared_folder
+
+__all__ = ["Tables", "scope", "shared_folder"]
+
 
 def pick(df: DataFrame, **columns: str) -> DataFrame:
     """The named columns under new names: pick(df, key="doc_id"). Columns are found by position, so that
@@ -26,42 +28,15 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     return plain.select([F.col(f"c{df.columns.index(old)}").alias(new) for new, old in columns.items()])
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir where the cluster names one.
-    Only where it is unset (tests, one machine) a temporary folder is made and set."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="heronlake-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-class Tables:
-    """Tables written to the shared folder, to cut lineage: they outlive executors, and each is read
-    as often as needed. drop() removes one that no later step reads."""
-
-    def __init__(self, spark: SparkSession, name: str) -> None:
-        self.spark, self.base = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-    def path(self, name: str) -> str:
-        return f"{self.base}/{name}"
-
-    def write(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(self.path(name))
-        return self.spark.read.schema(df.schema).parquet(self.path(name))
-
-    def drop(self, name: str) -> None:
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path(name))
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 #: Rows that Spark hands to a Python worker at once; its default of 10,000 whole texts would be held several times over.
 BATCH_ROWS = 512
+#: Bytes that a function gets at once, or one row.
+SLICE_BYTES = 16 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Lowers the session's Arrow batches to BATCH_ROWS rows, unless they are smaller."""
+    """Lowers the session's Arrow batches to BATCH_ROWS rows, unless they are smaller. Spark reads the setting when a plan runs, after the
+    operator has returned, so it stays."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
         spark.conf.set(name, str(BATCH_ROWS))
@@ -97,17 +72,29 @@ def hand_back() -> None:
         pass
 
 
+def slices(batch: pa.RecordBatch, rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of so many rows and, where they hold several rows, SLICE_BYTES."""
+    todo = [batch.slice(at, rows) for at in range(0, batch.num_rows, rows)][::-1]
+    while todo:
+        part = todo.pop()
+        n = part.num_rows
+        if n > 1 and part.nbytes > SLICE_BYTES:
+            todo += [part.slice(n // 2), part.slice(0, n // 2)]
+        else:
+            yield part
+
+
 def by_batch(df: DataFrame, schema: str, function: Callable[[pa.RecordBatch], list[pa.Array]], rows: int = BATCH_ROWS) -> DataFrame:
-    """mapInArrow in slices of so many rows; function gives the output columns of a slice. Memory is bounded
-    by the slice, not by the partition."""
+    """mapInArrow in slices of so many rows and SLICE_BYTES; function gives the output columns of a slice. Memory is bounded
+    by the slice, or one row, not by the partition."""
 
     owner = function.__module__
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only(owner)
         for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                yield pa.RecordBatch.from_arrays(function(batch.slice(at, rows)), names=names_of)
+            for part in slices(batch, rows):
+                yield pa.RecordBatch.from_arrays(function(part), names=names_of)
         pa.default_memory_pool().release_unused()
 
     names_of = [x.split()[0] for x in _fields(schema)]
@@ -123,21 +110,32 @@ def filter_rows(df: DataFrame, keep: Callable[[pa.RecordBatch], list[bool]], row
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only(owner)
         for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                part = batch.slice(at, rows)
+            for part in slices(batch, rows):
                 yield part.filter(pa.array(keep(part), pa.bool_()))
 
     small_batches(df.sparkSession)
     return df.mapInArrow(run, df.schema)
 
 
+def by_key(rows: DataFrame, keyed: DataFrame, on: list[str], k: str, total: int, how: str = "inner") -> DataFrame:
+    """rows joined with keyed, which has one row for each key (no nulls) and k, how many rows have it. Keys of more than a hundred-thousandth of
+    total (64 at least), of which there are 100,000 at most, are broadcast; rows of the others are shuffled. how: inner or left.
+    rows and keyed are read twice: pass written tables."""
+    cut = max(64, total // 100_000)
+    hot = F.broadcast(keyed.where(F.col(k) > cut))
+    cold = rows.join(hot.select(*on), on, "left_anti").join(keyed.where(F.col(k) <= cut), on, how)
+    return rows.join(hot, on).unionByName(cold)
+
+
 def without(docs: DataFrame, dropped: DataFrame, doc_id: str, text: str, most: int = 500_000) -> DataFrame:
     """The rows of docs, with all their columns, whose (doc_id, xxhash64 of the text) is not among dropped(doc_id, h). A list of
-    up to most rows is broadcast; beyond that, both sides are shuffled."""
+    up to most rows is broadcast; beyond that, both sides are shuffled. docs' columns are found by position, whatever their names."""
     few = dropped.limit(most + 1).count() <= most
-    left = docs.withColumns({"__id": docs[doc_id], "__h": F.xxhash64(docs[text])})
-    on = left["__id"].eqNullSafe(dropped["doc_id"]) & (left["__h"] == dropped["h"])
-    return left.join(F.broadcast(dropped) if few else dropped, on, "left_anti").drop("__id", "__h")
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    key, content = (plain[f"c{docs.columns.index(x)}"] for x in (doc_id, text))
+    gone = dropped.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"))
+    on = key.eqNullSafe(F.col("_id")) & (F.xxhash64(content) == F.col("_h"))
+    return plain.join(F.broadcast(gone) if few else gone, on, "left_anti").toDF(*docs.columns)
 
 
 def _fields(schema: str) -> list[str]:
@@ -153,14 +151,18 @@ def _fields(schema: str) -> list[str]:
 
 
 class Bounded(dict):
-    """A cache that computes what is missing. When full, it keeps what was asked for since it was last full:
-    at most twice the number of entries."""
+    """A cache that computes what is missing. When full, it keeps what was asked for since it was last full: at most twice the number of
+    entries. Keys of more than LONGEST characters are computed and not kept, so that entries bound the bytes, too."""
+
+    LONGEST = 64
 
     def __init__(self, compute: Callable, most: int) -> None:
         super().__init__()
         self.compute, self.most, self.older = compute, most, {}
 
     def __missing__(self, key):
+        if len(key) > self.LONGEST:
+            return self.compute(key)
         if len(self) >= self.most:
             self.older = dict(self)
             self.clear()

@@ -12,6 +12,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import pick
+
 DRAW_DIGITS = 13  # 52 bits: whole numbers that a double holds
 
 
@@ -51,7 +53,10 @@ def slots(records: DataFrame, shard: str, order: list[str], slot: str = "slot",
 
     records has just the shard and the order columns. Equal records are counted before the shuffle and numbered as one
     range. A shard is cut into buckets by the leading digits of the md5, as many as keep a bucket near bucket_rows; their
-    sizes (shards x buckets rows) give each its first number, so no task sorts a whole shard."""
+    sizes (shards x buckets rows) give each its first number, so no task sorts a whole shard. Nulls are values like others, and an empty
+    table stays empty. Columns of records may have any names."""
+    names, own = [shard, *order], [f"o{i}" for i in range(len(order))]
+    records, shard, order = pick(records, **dict(zip(["shard", *own], names, strict=True))), "shard", own
     counted = records.groupBy(shard, *order).agg(F.count("*").alias("_n"))
     whole = F.md5(F.concat_ws(":", *[key_text(F.col(c)) for c in order]))
     total = records.count()
@@ -64,4 +69,5 @@ def slots(records: DataFrame, shard: str, order: list[str], slot: str = "slot",
     ranged = counted.withColumn("_end", F.sum("_n").over(within.rowsBetween(Window.unboundedPreceding, 0)))
     placed = ranged.join(first, [shard, "_b"])
     start = F.col("_first") + F.col("_end") - F.col("_n")
-    return placed.select(shard, *order, F.explode(F.sequence(start, start + F.col("_n") - 1)).alias(slot))
+    numbered = placed.select(shard, *order, F.explode(F.sequence(start, start + F.col("_n") - 1)))
+    return numbered.toDF(*names, slot)

@@ -109,3 +109,33 @@ def test_count_rows(spark):
     rows = spark.createDataFrame([(1, "a b"), (None, None), (2, "")], "doc_id long, text string")
     found = {r.doc_id: r.n_tokens for r in unigram.count_tokens(rows, queries.tokenizer(queries.UNIGRAM_FILE)).collect()}
     assert found[None] == 0 and found[2] == 0 and found[1] == 2
+
+
+def test_fractional_scores_and_user_pieces_equal_the_library():
+    """Sums are kept as the library keeps them, as 32-bit floats, over texts of many thousand pieces."""
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    r = random.Random(12)
+    model = pb.ModelProto()
+    model.ParseFromString(open(queries.tokenizer(queries.UNIGRAM_FILE), "rb").read())
+    unigram.rescored(model).trainer_spec.model_type = 1
+    for p in model.pieces:
+        if p.type == 1:
+            p.score = -r.uniform(3, 14)
+    for user in ((), ("ordering",)):
+        for p in [p for p in model.pieces if p.piece in user]:
+            p.type = 4
+        content = model.SerializeToString()
+        processor, counter = sentencepiece.SentencePieceProcessor(model_proto=content), unigram.read_model(content)
+        words = "the of ordering house \u00e9t\u00e9 x1 reordering \n unglaublich".split(" ")
+        long = [" ".join(r.choice(words) for _ in range(5000)) for _ in range(4)]
+        for text in [*texts(500, 40, 21), *long]:
+            assert counter.count(text)[0] == len(processor.encode(text))
+
+
+def test_count_of_repeated_rows_and_clashing_names(spark):
+    rows = spark.createDataFrame([(1, "a b", 5), (1, "a b", 6)], "doc_id long, text string, n_tokens int")
+    file = queries.tokenizer(queries.UNIGRAM_FILE)
+    assert [tuple(x)[:2] for x in unigram.count_tokens(rows, file).collect()] == [(1, 2), (1, 2)]
+    assert unigram.count_tokens(rows.limit(0), file).count() == 0
