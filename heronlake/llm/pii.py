@@ -3,8 +3,9 @@
 The finds by form are seeds. Each seed, and each other token that could be an identifier, is an instance that stands in
 lexical patterns: the word before it, the two words before it, and the words on both sides. Patterns and instances
 make a graph that Spark scores in rounds: a pattern's score for a kind is the mean score of its different instances,
-an instance's score is that of its best pattern with enough seeds. Tokens that fit a kind loosely and
-stand in a pattern of high score for that kind are added; the finds by form always stay.
+an instance's score is that of its best pattern with enough seeds. Instances of high score are seeds of the next round, so patterns
+that stand only around what was discovered count, too. What fits a kind loosely, a token or numbers with spaces between them, and
+stands in a pattern of high score for that kind is added; the finds by form always stay.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Tables, by_batch, pick
+from .common import Tables, by_batch, by_key, pick
 
 #: Fixed: the kinds in the order of results.
 KINDS = ("email", "ip", "card", "phone")
@@ -27,6 +28,8 @@ IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")  # a match begins and ends
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 WORD = re.compile(r"[^\W\d_]+")
+#: Numbers of two to six digits in two to five groups with spaces between, which are no one token.
+SPACED = re.compile(r"(?<![0-9A-Za-z+(.-])\(?[0-9]{2,6}\)?(?:[ .-][0-9]{2,6}){1,4}(?![0-9A-Za-z.-][0-9A-Za-z])")
 EDGES = "\"'`.,;:!?()[]{}<>|"
 
 
@@ -64,16 +67,16 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def fits(value: str) -> int:
-    """The kind that a token fits loosely, or -1: an address without a full domain, an IP address of version 6, a number
-    of 12 to 15 digits with a card's check digit, a number of 9 to 11 digits with separators."""
+    """The kind that a value fits loosely, or -1: an address without a full domain, an IP address of version 6, a number
+    of 12 to 15 digits with a card's check digit, a number of 9 to 11 digits in groups."""
     digits = "".join(c for c in value if "0" <= c <= "9")
     if value.count("@") == 1 and len(value) >= 5 and value[0] != "@" and value[-1] != "@" and all(c in LOCAL or c == "@" for c in value):
         return 0
     if value.count(":") >= 3 and re.fullmatch(r"[0-9A-Fa-f]{0,4}(?::[0-9A-Fa-f]{0,4}){3,7}", value) and digits:
         return 1
-    if 12 <= len(digits) <= 15 and len(digits) == len(value.replace("-", "")) and luhn(digits):
+    if 12 <= len(digits) <= 15 and len(digits) == len(value.replace("-", "").replace(" ", "")) and luhn(digits):
         return 2
-    if 9 <= len(digits) <= 11 and re.fullmatch(r"\(?[0-9]{2,4}\)?(?:[.-][0-9]{2,4}){2,3}", value):
+    if 9 <= len(digits) <= 11 and re.fullmatch(r"\(?[0-9]{2,5}\)?(?:[ .-][0-9]{2,6}){1,4}", value):
         return 3
     return -1
 
@@ -93,10 +96,10 @@ def patterns(text: str, start: int, end: int) -> list[str]:
 
 
 def instances(text: str, base: list[tuple[int, int, int]]) -> list[dict]:
-    """The seeds, and the tokens that could be identifiers and overlap no seed."""
+    """The seeds, and what could be an identifier and overlaps no seed: tokens of any length, and numbers with spaces."""
     out = [{"kind": k, "seed": True, "start": a, "end": b, "value": text[a:b].lower(), "patterns": patterns(text, a, b)} for k, a, b in base]
-    taken = sorted((a, b) for _, a, b in base)
-    m, i = CLUE.search(text), 0
+    loose: list[tuple[int, int, int]] = []
+    m, outer = CLUE.search(text), EDGES.replace("(", "")
     while m:
         start = m.start()
         while start and not text[start - 1].isspace():
@@ -104,16 +107,21 @@ def instances(text: str, base: list[tuple[int, int, int]]) -> list[dict]:
         stop = SPACE.search(text, m.end())
         end = stop.start() if stop else len(text)
         token = text[start:end]
-        if len(token) <= 80:
-            lead = len(token) - len(token.lstrip(EDGES.replace("(", "")))
-            value = token.strip(EDGES.replace("(", ""))
-            a, b = start + lead, start + lead + len(value)
-            while i < len(taken) and taken[i][1] <= a:
-                i += 1
-            kind = fits(value)
-            if kind >= 0 and not any(x < b and a < y for x, y in taken[max(0, i - 4) : i + 4]):
-                out.append({"kind": kind, "seed": False, "start": a, "end": b, "value": value.lower(), "patterns": patterns(text, a, b)})
+        lead = len(token) - len(token.lstrip(outer))
+        value = token.strip(outer)
+        kind = fits(value)
+        if kind >= 0:
+            loose.append((start + lead, start + lead + len(value), kind))
         m = CLUE.search(text, end)
+    loose += [(*x.span(), kind) for x in SPACED.finditer(text) if " " in x[0] and (kind := fits(x[0])) >= 0]
+    taken, reach, i = sorted((a, b) for _, a, b in base), 0, 0
+    for a, b, kind in sorted(loose, key=lambda x: (x[0], -x[1])):
+        while i < len(taken) and taken[i][0] < b:  # the ends of all seeds that begin before this one's end
+            reach = max(reach, taken[i][1])
+            i += 1
+        if reach <= a:
+            reach = b
+            out.append({"kind": kind, "seed": False, "start": a, "end": b, "value": text[a:b].lower(), "patterns": patterns(text, a, b)})
     return out
 
 
@@ -136,21 +144,42 @@ def scan(docs: DataFrame) -> DataFrame:
     return by_batch(docs, f"doc_id {kind}, base {SPANS}, instances {INSTANCES}", run)
 
 
-def score_graph(edges: DataFrame, tables: Tables, rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS, min_start: float = MIN_START) -> DataFrame:
+#: Rows of (pattern, kind) up to which they are broadcast, some 50 bytes each.
+BROADCAST_PATTERNS = 500_000
+
+
+def _with_patterns(rows: DataFrame, scored: DataFrame, tables: Tables, name: str) -> DataFrame:
+    """rows joined with the patterns (pattern, kind, ...) that were kept: broadcast where they are few; else those are that many rows have."""
+    if scored.limit(BROADCAST_PATTERNS + 1).count() <= BROADCAST_PATTERNS:
+        return rows.join(F.broadcast(scored), ["pattern", "kind"])
+    rows = tables.write(rows, f"{name}-rows")
+    often = rows.groupBy("pattern", "kind").agg(F.count("*").alias("k"))
+    scored = tables.write(scored.join(often, ["pattern", "kind"]), f"{name}-patterns")
+    return by_key(rows, scored, ["pattern", "kind"], "k", rows.count()).drop("k")
+
+
+def score_graph(edges: DataFrame, tables: Tables, rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS, min_start: float = MIN_START, min_score: float = MIN_SCORE) -> DataFrame:
     """pattern, kind, score, seeds for (pattern, value, kind, seed), which are different rows.
 
-    Each round groups the edges by pattern and by instance; both are sums or maxima, combined before the shuffle.
-    A hot pattern or value is one group of partial sums, never a list."""
-    of_pattern = edges.groupBy("pattern").agg(F.count("*").alias("n"))
+    Each round groups the edges by pattern and by instance; both are sums or maxima, combined before the shuffle, and joins back to
+    the edges send hot patterns and values to all tasks instead of their edges to one. From the second round on, instances of
+    min_score or more count as seeds."""
+    of_pattern = tables.write(edges.groupBy("pattern").agg(F.count("*").alias("n")), "of_pattern")
     edges = tables.write(edges.withColumn("score", F.col("seed").cast("double")), "edges0")
+    total = edges.count()
     for i in range(rounds):
-        scored = edges.groupBy("pattern", "kind").agg(F.sum("score").alias("sum"), F.count_if("seed").alias("seeds"))
+        scored = edges.groupBy("pattern", "kind").agg(F.sum("score").alias("sum"), F.count_if(F.col("score") >= min_score).alias("seeds"))
         scored = scored.join(of_pattern, "pattern").select("pattern", "kind", "seeds", (F.col("sum") / F.col("n")).alias("p"))
         scored = tables.write(scored.where((F.col("seeds") >= min_seeds) & (F.col("p") >= min_start)), f"patterns{i}")
         if i < rounds - 1:
-            best = edges.where("not seed").join(scored, ["pattern", "kind"]).groupBy("value", "kind").agg(F.max("p").alias("best"))
-            new = edges.drop("score").join(best, ["value", "kind"], "left")
-            edges = tables.write(new.withColumn("score", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("best", F.lit(0.0)))).drop("best"), f"edges{i + 1}")
+            met = _with_patterns(edges.where("not seed").select("pattern", "value", "kind"), scored, tables, f"met{i}")
+            best = met.groupBy("value", "kind").agg(F.max("p").alias("best"))
+            often = edges.where("not seed").groupBy("value", "kind").agg(F.count("*").alias("k"))
+            best = tables.write(best.join(often, ["value", "kind"]), f"best{i}")
+            loose = by_key(edges.where("not seed").drop("score"), best, ["value", "kind"], "k", total, "left")
+            loose = loose.select("pattern", "value", "kind", "seed", F.coalesce("best", F.lit(0.0)).alias("score"))
+            edges = tables.write(edges.where("seed").unionByName(loose), f"edges{i + 1}")
+            tables.drop(f"edges{i}")
     return scored.select("pattern", "kind", F.col("p").alias("score"), "seeds")
 
 
@@ -164,7 +193,9 @@ def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_score:
     found = tables.write(found, "found")
     single = found.select("row", F.explode("instances").alias("x")).select("row", "x.*")
     edges = single.select(F.explode("patterns").alias("pattern"), "value", "kind", "seed").distinct()
-    accepted = score_graph(edges, tables, min_seeds=min_seeds).where(F.col("score") >= min_score).select("pattern", "kind")
+    accepted = score_graph(edges, tables, min_seeds=min_seeds, min_score=min_score).where(F.col("score") >= min_score).select("pattern", "kind")
     loose = single.where("not seed").select("row", "kind", "start", "end", F.explode("patterns").alias("pattern"))
-    added = loose.join(accepted, ["pattern", "kind"]).groupBy("row").agg(F.array_sort(F.collect_set(F.struct("kind", "start", "end"))).alias("added"))
+    added = _with_patterns(loose, tables.write(accepted, "accepted"), tables, "added").groupBy("row").agg(F.array_sort(F.collect_set(F.struct("kind", "start", "end"))).alias("added"))
+    added = tables.write(added, "added")
+    tables.keep("found", "added")
     return found.select("row", "doc_id", "base").join(added, "row", "left").select("doc_id", "base", F.coalesce("added", F.expr(f"cast(array() as {SPANS})")).alias("added"))
