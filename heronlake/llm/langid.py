@@ -11,17 +11,17 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import by_batch, filter_rows, hold, pick
+from .common import Tables, by_batch, filter_rows, hold, pick
 
 UNDETERMINED = "und"
 LETTER, OTHERS = regex.compile(r"\p{L}"), regex.compile(r"[^\p{L}]+")
-#: Bounds of the training sample: so many documents a language, so many characters of each, so many bytes of dictionary.
-SAMPLE_ROWS, SAMPLE_CHARS, DICTIONARY_BYTES = 400, 1500, 32 * 1024
-#: Language counts up to which they are broadcast, so that rows are cut before the shuffle.
-FEW_LANGUAGES = 10_000
+#: Bounds of the training sample: the most frequent languages, documents of each, characters of each document, bytes of a dictionary.
+LANGUAGES, SAMPLE_ROWS, SAMPLE_CHARS, DICTIONARY_BYTES = 1000, 400, 1500, 32 * 1024
 #: Texts are compressed in blocks of so many bytes, each with the dictionary alone before it. After the last block comes
 #: the end of the dictionary: else short texts, which gain less than a header, would all be stored as they are.
 BLOCK_BYTES, TAIL_BYTES = 4096, 256
+#: Chosen documents up to which their hashes are broadcast, 16 bytes and the language's name each.
+BROADCAST_ROWS = 1_000_000
 LEVEL = 6
 #: A result is rejected when the second language needs less than this share more bytes.
 MARGIN = 0.002
@@ -37,28 +37,34 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS, size: int = DICTIONARY_BYTES) -> dict[str, bytes]:
+def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS, size: int = DICTIONARY_BYTES, languages: int = LANGUAGES) -> dict[str, bytes]:
     """A dictionary for each language, from documents that are not held out and have a language and letters.
 
-    The sample is the rows with the smallest hashes of each language, chosen by id before any text is moved; it and the
-    dictionaries are bounded by the parameters and the number of languages, whatever the number of documents. Languages with
-    text for a whole dictionary have equal sizes; one with less keeps all it has, and takes nothing from the others."""
+    The sample is the documents with the smallest hashes of each language, chosen by id before any text is moved; it and the dictionaries
+    are bounded by the parameters alone: of more languages the most frequent are learned, of ids that are repeated one text. A dictionary
+    is the beginning of its sample, so a language of long documents uses fewer of them. Languages with text for a whole dictionary
+    have equal sizes; one with less keeps all it has, and takes nothing from the others."""
     labelled = pick(docs, doc_id=doc_id, text=text, lang=lang)
     labelled = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    keyed = labelled.select("lang", F.pmod(F.xxhash64("doc_id", "lang"), F.lit(1 << 30)).alias("h"), "doc_id")
-    # Hashes are even: a cut at four times the wanted share leaves enough, and little of a frequent language to sort.
-    counts = keyed.groupBy("lang").agg(F.count("*").alias("n"))
-    few = counts.limit(FEW_LANGUAGES + 1).count() <= FEW_LANGUAGES
-    keyed = keyed.join(F.broadcast(counts) if few else counts, "lang").where(F.col("h") / float(1 << 30) * F.col("n") < 4.0 * rows).drop("n")
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
-    chosen = keyed.withColumn("place", place).where(F.col("place") <= rows).select("lang", "doc_id", "h").distinct()
-    texts = labelled.join(F.broadcast(chosen), ["lang", "doc_id"]).select("lang", "h", F.substring("text", 1, chars).alias("text"))
-    each = texts.groupBy("lang", "h").agg(F.min("text").alias("text"))  # of repeated ids, one text
+    tables = Tables(docs.sparkSession, "langid")
+    # Different ids: a repeated one counts once, however often it occurs.
+    hashed = F.pmod(F.xxhash64("doc_id", "lang"), F.lit(1 << 30)).alias("h")
+    ids = tables.write(labelled.select("lang", hashed).distinct(), "ids")
+    counts = ids.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(languages)
+    # Hashes are even: a cut at four times the wanted share of the ids leaves enough, and little of a frequent language to sort.
+    near = ids.join(F.broadcast(counts), "lang").where(F.col("h") / float(1 << 30) * F.col("n") < 4.0 * rows).drop("n")
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    chosen = near.withColumn("place", place).where(F.col("place") <= rows).select("lang", "h")
+    keyed = labelled.select("lang", hashed, F.substring("text", 1, chars).alias("text"))
+    few = min(languages, counts.count()) * rows <= BROADCAST_ROWS
+    each = keyed.join(F.broadcast(chosen) if few else chosen, ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))
     by_lang: dict[str, list[bytes]] = {}
-    for row in each.orderBy("lang", "h").collect():  # rows x languages, bounded
-        if LETTER.search(row["text"]):
-            by_lang.setdefault(row["lang"], []).append(normal(row["text"]))
-    return {k: b"\n".join(x)[:size] for k, x in sorted(by_lang.items())}
+    for row in each.orderBy("lang", "h").toLocalIterator():  # languages x rows x chars, bounded
+        found = by_lang.setdefault(row["lang"], [])
+        if sum(map(len, found)) < size and LETTER.search(row["text"]):
+            found.append(normal(row["text"]))
+    tables.clear()
+    return {k: b"\n".join(x)[:size] for k, x in sorted(by_lang.items()) if x}
 
 
 class Classifier:
