@@ -104,7 +104,8 @@ class BallTree:
 
 
 def integers(vector: Column) -> Column:
-    """floor(SCALE * x) of each component, as double; null where the vector is null or has a null or non-finite component."""
+    """floor(SCALE * x) of each component, as double; null where the vector is null or has a null or non-finite component. Components of
+    2**53 or more come out smaller than they are; top_k refuses them."""
     whole = F.transform(vector, lambda x: F.floor(x.cast("double") * SCALE).cast("double"))
     plain = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     return F.when(F.coalesce(plain, F.lit(False)), whole)
@@ -119,7 +120,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, vec_id: str = "vec_
 
     is_query is a condition on the column vec_id. Rows with a null id, or a null, empty or unfit vector, take no part; vectors of
     different lengths are compared only with their like. Candidates are all rows but those with the query's own id. Repeated rows
-    are candidates as often as they occur; a query id that is repeated is answered once, for the least of its vectors.
+    are candidates as often as they occur; a query id that is repeated is answered once, for the least of its vectors. Scores are sums of
+    doubles, exact under 2**53: vectors whose products could reach that are an error.
 
     Vectors are dealt to shards of about shard_rows by a hash of id and vector, queries to blocks of block_rows; a task holds one shard
     and one block, whatever the size of either table. What is passed on is k rows for each query and shard."""
@@ -129,7 +131,10 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, vec_id: str = "vec_
     plain = tables.write(plain, "vectors")
     queries = plain.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v"))
     queries = tables.write(queries, "queries")
-    n_shards = max(1, -(-plain.count() // shard_rows))
+    n, size, dim = plain.agg(F.count("*"), F.max(F.array_max(F.transform("v", F.abs))), F.max("dim")).first()
+    if n and size * size * dim >= 2.0**53:
+        raise ValueError(f"components up to {size / SCALE:g} make products that doubles do not hold exactly")
+    n_shards = max(1, -(-n // shard_rows))
     n_blocks = max(1, -(-queries.count() // block_rows))
     # Rows are numbered within their input partition, so that equal rows are spread too.
     shard = F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(n_shards))

@@ -72,6 +72,22 @@ SELECT conv_id, n_turns::BIGINT AS n_turns, sha256(turns) AS turns_sha256, lengt
 FROM c
 """
 
+# CRC-32 (the reflected polynomial 0xEDB88320), a byte at a time, and draws as 13 hexadecimal digits of md5.
+OP7 = """
+WITH t AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i::BIGINT, range(8)),
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+d AS (SELECT doc_id, encode(coalesce(text, '')) AS b, row_number() OVER () AS rid FROM documents),
+x AS (SELECT rid, doc_id, octet_length(b) + 8 AS size, hex(b) AS h FROM d),
+s AS (SELECT rid, doc_id, size, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(size - 8), lambda i: ('0x' || h[2 * i + 1:2 * i + 2])::BIGINT)),
+    lambda c, y: xor(c >> 8, t.t[(xor(c, y) & 255) + 1])), 4294967295) AS crc FROM x, t),
+w AS (SELECT rid, k, ('0x' || md5(coalesce('k' || doc_id, 'null') || '/' || k)[:13])::BIGINT AS draw FROM s, range(25) r(k)),
+p AS (SELECT rid, arg_max(k, draw * 32 + k) FILTER (k < 24) AS shard, arg_max(k, draw * 32 + k) AS grown FROM w GROUP BY rid)
+SELECT doc_id, size::BIGINT AS size, crc::BIGINT AS text_crc32, 'key' AS law, shard::INTEGER AS shard,
+  row_number() OVER (PARTITION BY shard ORDER BY md5(coalesce('k' || doc_id, 'null') || ':k' || size || ':k' || crc), doc_id, size, crc) - 1 AS slot,
+  grown::INTEGER AS grown_shard
+FROM s JOIN p USING (rid)
+"""
+
 
 def oracles() -> dict[str, str]:
     return {
@@ -79,4 +95,5 @@ def oracles() -> dict[str, str]:
         "op4_ngram_jaccard_join": OP4,
         "op5_benchmark_decontamination": OP5,
         "op6_chat_formatting": OP6,
+        "op7_sharding": OP7,
     }

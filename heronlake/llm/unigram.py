@@ -3,15 +3,17 @@
 An Aho-Corasick automaton lists the vocabulary's matches; for every position only the best score and the
 piece count of the best path are kept. The tie rules are those of the public unigram tokenizer: a path replaces
 another only if its score is strictly higher, and paths are met in the order of their last piece's start. A character
-that no single piece covers costs the lowest score less 10 and, with byte fallback, counts one piece a byte.
-Scores add up as doubles, without loss for whole-number scores.
+that no single piece covers costs the lowest score less 10 and, with byte fallback, counts one piece a byte. A
+user-defined piece of n bytes scores n times the highest score less 0.1.
 
-Where pieces hold the space mark only at their start, a text falls into segments that no piece crosses; their best
-paths are independent and remembered in a cache of bounded size.
+The tokenizer keeps sums as 32-bit floats. Whole-number scores add up without loss, whatever the order: there, if pieces hold the space mark
+only at their start, a text falls into segments that no piece crosses, whose best paths are independent and remembered in a cache
+of bounded size. Other scores are added as the tokenizer adds them, through the whole text.
 """
 
 from __future__ import annotations
 
+import struct
 from functools import lru_cache
 
 import ahocorasick
@@ -27,25 +29,39 @@ UNKNOWN_PENALTY = 10.0  # fixed by the tokenizer
 REMEMBERED = 300_000
 BARRED = -1e8
 NEVER = float("-inf")
+NORMAL, USER_DEFINED = 1, 4  # fixed types of the model file
+#: Whole-number scores up to this size, over the texts that one row can hold, keep sums exact in doubles.
+WHOLE = 1 << 20
+_FLOAT = struct.Struct("f")
+
+
+def single(x: float) -> float:
+    """x as a 32-bit float keeps it."""
+    return _FLOAT.unpack(_FLOAT.pack(x))[0]
 
 
 class Unigram:
-    """pieces: (piece, score), those of normal type. fallback: unknown characters fall into bytes."""
+    """pieces: (piece, score), those of normal type; user: user-defined pieces. fallback: unknown characters fall into bytes."""
 
-    def __init__(self, pieces: list[tuple[str, float]], fallback: bool = True, dummy_prefix: bool = True) -> None:
+    def __init__(self, pieces: list[tuple[str, float]], fallback: bool = True, dummy_prefix: bool = True, user: tuple[str, ...] = ()) -> None:
         self.fallback, self.dummy_prefix = fallback, dummy_prefix
         self.automaton, self.singles = ahocorasick.Automaton(), set()
-        for piece, score in pieces:
+        scores = [single(s) for _, s in pieces]
+        low, high = min(scores, default=0.0), max(scores, default=0.0)
+        every = [(p, s) for (p, _), s in zip(pieces, scores, strict=True)] + [(p, len(p.encode()) * high - 0.1) for p in user]
+        for piece, score in every:
             self.automaton.add_word(piece, (len(piece), score))
             if len(piece) == 1:
                 self.singles.add(piece)
         self.automaton.make_automaton()
-        self.unknown = min((s for _, s in pieces), default=0.0) - UNKNOWN_PENALTY
-        self.segments = not any(MARK in p.lstrip(MARK) for p, _ in pieces)
+        self.unknown = single(low - UNKNOWN_PENALTY)
+        self.whole = not user and all(s == int(s) and abs(s) <= WHOLE for s in scores)
+        self.segments = self.whole and not any(MARK in p.lstrip(MARK) for p, _ in every)
         self.memory = Bounded(self.path, REMEMBERED)
 
     def path(self, text: str) -> tuple[int, float]:
         """Pieces and score of the best path."""
+        keep = float if self.whole else single
         n = len(text)
         score, count = [NEVER] * (n + 1), [0] * (n + 1)
         score[0] = 0.0
@@ -55,7 +71,7 @@ class Unigram:
             """Characters before upto that have no piece of their own."""
             while bare and bare[-1] < upto:
                 i = bare.pop()
-                x = self.unknown + score[i]
+                x = keep(self.unknown + score[i])
                 if x > score[i + 1]:
                     score[i + 1] = x
                     count[i + 1] = count[i] + (len(text[i].encode("utf-8", "surrogatepass")) if self.fallback else 1)
@@ -67,7 +83,7 @@ class Unigram:
             before = end - length
             x = value + score[before]
             if x > score[end]:
-                score[end], count[end] = x, count[before] + 1
+                score[end], count[end] = x if self.whole else keep(x), count[before] + 1
         solitary(n)
         return count[n], score[n]
 
@@ -110,8 +126,9 @@ def read_model(content: bytes) -> Unigram:
     spec = model.normalizer_spec
     if spec.remove_extra_whitespaces or len(spec.precompiled_charsmap) or not spec.escape_whitespaces:
         raise ValueError("only vocabularies without text normalization can be counted")
-    pieces = [(p.piece, p.score) for p in rescored(model).pieces if p.type == 1]
-    return Unigram(pieces, model.trainer_spec.byte_fallback, spec.add_dummy_prefix)
+    pieces = [(p.piece, p.score) for p in rescored(model).pieces if p.type == NORMAL]
+    user = tuple(p.piece for p in model.pieces if p.type == USER_DEFINED)
+    return Unigram(pieces, model.trainer_spec.byte_fallback, spec.add_dummy_prefix, user)
 
 
 @lru_cache(2)
@@ -129,7 +146,8 @@ hold(__name__, model.cache_clear)
 def count_tokens(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_tokens, score: pieces and score of the best path through the whole text, one row for each row.
 
-    Null and empty texts have no pieces and score 0. One pass without a shuffle; time grows with the text's length."""
+    Null and empty texts have no pieces and score 0; repeated rows are each answered, and an empty table gives none. One pass without
+    a shuffle; time grows with the text's length."""
 
     def run(batch: pa.RecordBatch) -> list[pa.Array]:
         found = [model(vocabulary).count(x or "") for x in batch.column(1).to_pylist()]
