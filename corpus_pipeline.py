@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from heronlake.llm import bpe, decontaminate, jaccard, langid, queries, secrets
-from heronlake.llm.common import Tables
+from heronlake.llm.common import Tables, scope
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,7 +25,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are masked in the texts; n_chars follows."""
-    return secrets.redact_rows(docs)
+    return secrets.redact_rows(docs, secrets.standard(queries.tokenizer(queries.BPE_FILE)))
 
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,8 +47,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages applied to documents, each result written to the shared folder and read again."""
     docs, tables = spark.read.parquet(f"{sf_dir}/documents.parquet"), Tables(spark, "pipeline")
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = tables.write(docs, name.replace(" ", "_"))
-    return docs
+    for name, stage in STAGES[:-1]:
+        with scope():  # what a stage kept for itself goes once its result is written
+            docs = tables.write(stage(spark, docs, sf_dir), name.replace(" ", "_"))
+    return STAGES[-1][1](spark, docs, sf_dir)
