@@ -12,6 +12,8 @@ from ..schemas import DIMS, K
 
 #: Pairs that are worked out at once: bounds a task's temporary arrays.
 PAIRS = 2_000_000
+#: References of a shard and queries of a block, in rows: what one task holds, whatever the size of either table.
+SHARD_ROWS, BLOCK_ROWS = 16_384, 4_096
 #: Rows of references up to which the pair plan may broadcast them.
 BROADCAST_ROWS = 50_000
 
@@ -41,38 +43,59 @@ def _fold(m: np.ndarray) -> np.ndarray:
     return total
 
 
-def knn(queries: DataFrame, refs: DataFrame, k: int = K, metric: str = "l2", shards: int | None = None, query_blocks: int = 1) -> DataFrame:
+def nearest(a: np.ndarray, qids: np.ndarray, b: np.ndarray, ids: np.ndarray, k: int, metric: str, skip_own: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row of a, row of b and distance of the k nearest of each row of a; ties to the smaller of ids, which are in order. For l2 a matrix
+    product finds what may be among them, within its rounding, and the folded distance decides."""
+    if metric == "l2":
+        x, y = (a * a).sum(axis=1)[:, None], (b * b).sum(axis=1)[None, :]
+        rough, slack = x + y - 2.0 * (a @ b.T), 1e-10 * (1.0 + x.max() + y.max())
+    else:
+        rough, slack = distances(a, b, metric), 0.0
+    if skip_own:
+        low, high = np.searchsorted(ids, qids), np.searchsorted(ids, qids, "right")
+        for i in np.flatnonzero(high > low):
+            rough[i, low[i] : high[i]] = np.inf
+    n = min(k, len(b))
+    bar = np.partition(rough, n - 1, axis=1)[:, n - 1]
+    row, at = np.nonzero((rough <= bar[:, None] + 2 * slack) & np.isfinite(rough))
+    d = rough[row, at]
+    if metric == "l2":
+        d = np.zeros(len(row))
+        for i in range(a.shape[1]):
+            d += (a[row, i] - b[at, i]) ** 2
+    order = np.lexsort((at, d, row))
+    row, at, d = row[order], at[order], d[order]
+    good = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[good], at[good], d[good]
+
+
+def knn(queries: DataFrame, refs: DataFrame, k: int = K, metric: str = "l2", shards: int | None = None, query_blocks: int | None = None, skip_own: bool = False) -> DataFrame:
     """qid, rank, ref_id, d, y for queries (qid, v) and refs (ref_id, v, y): the k nearest, ties to the smaller ref_id. d is the
-    squared distance for l2.
+    squared distance for l2. skip_own: a reference with the query's own id is none of its neighbours.
 
     References are dealt to shards by a hash of their id, every shard meets every block of queries, and a task keeps k rows
     for each query; a ranking window over these finds the result. Nothing is broadcast: what is shuffled is the references once for
-    each block and the queries once for each shard. Choose shards so that one shard fits a task."""
-    spark = refs.sparkSession
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    each block and the queries once for each shard. Both numbers follow from counts, so a task's size is a constant; pass tables that are
+    cheap to count."""
+    shards = shards or max(1, -(-refs.count() // SHARD_ROWS))
+    query_blocks = query_blocks or max(1, -(-queries.count() // BLOCK_ROWS))
     block = F.pmod(F.xxhash64("qid"), F.lit(query_blocks))
     number = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
     q = queries.select("qid", F.col("v").alias("qv"), block.alias("qblock"), number(shards).alias("qshard"))
     r = refs.select("ref_id", "v", "y", F.pmod(F.xxhash64("ref_id"), F.lit(shards)).alias("shard"), number(query_blocks).alias("block"))
 
     def run(key: tuple, q: pa.Table, r: pa.Table) -> pa.Table:
-        out: list[list] = [[], [], [], []]
+        out: list[tuple] = []
         if q.num_rows and r.num_rows:
-            ids, order = r["ref_id"].to_numpy(), np.argsort(r["ref_id"].to_numpy(), kind="stable")
-            ids, labels, b = ids[order], r["y"].to_numpy()[order], _matrix(r["v"])[order]
+            order = np.argsort(r["ref_id"].to_numpy(), kind="stable")
+            ids, labels, b = r["ref_id"].to_numpy()[order], r["y"].to_numpy()[order], _matrix(r["v"])[order]
             a, qids = _matrix(q["qv"]), q["qid"].to_numpy()
             step = max(1, PAIRS // len(b))
-            for at in range(0, len(a), step):
-                d = distances(a[at : at + step], b, metric)
-                n = min(k, d.shape[1])
-                kth = np.partition(d, n - 1, axis=1)[:, n - 1]
-                for i, row in enumerate(d):
-                    near = np.flatnonzero(row <= kth[i])
-                    near = near[np.argsort(row[near], kind="stable")[:n]]
-                    for part, x in zip(out, ([qids[at + i]] * n, ids[near], row[near], labels[near]), strict=True):
-                        part.extend(x)
+            for start in range(0, len(a), step):
+                row, at, d = nearest(a[start : start + step], qids[start : start + step], b, ids, k, metric, skip_own)
+                out.append((qids[start + row], ids[at], d, labels[at]))
         types = (pa.int64(), pa.int64(), pa.float64(), pa.int32())
-        return pa.table({c: pa.array(x, t) for c, x, t in zip(("qid", "ref_id", "d", "y"), out, types, strict=True)})
+        return pa.table({c: pa.array(np.concatenate([x[i] for x in out]) if out else [], t) for i, (c, t) in enumerate(zip(("qid", "ref_id", "d", "y"), types, strict=True))})
 
     near = q.groupBy("qshard", "qblock").cogroup(r.groupBy("shard", "block")).applyInArrow(run, "qid long, ref_id long, d double, y int")
     return rank(near, k)
@@ -84,14 +107,14 @@ def rank(near: DataFrame, k: int) -> DataFrame:
     return near.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k).select("qid", "rank", "ref_id", "d", "y")
 
 
-def knn_pairs(queries: DataFrame, refs: DataFrame, k: int = K, dims: list[str] = DIMS) -> DataFrame:
+def knn_pairs(queries: DataFrame, refs: DataFrame, k: int = K, dims: list[str] = DIMS, skip_own: bool = False) -> DataFrame:
     """The same result as a plan of joins alone, over scalar columns: all pairs, and a ranking window whose limit is applied
     before the shuffle. For small references: over BROADCAST_ROWS rows knn() takes over."""
     if refs.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
         array = lambda df: df.withColumn("v", F.array(*dims))
-        return knn(array(queries), array(refs), k)
+        return knn(array(queries), array(refs), k, skip_own=skip_own)
     r = F.broadcast(refs.select("ref_id", "y", *[F.col(c).alias(f"r_{c}") for c in dims]))
-    pairs = queries.select("qid", *dims).join(r)
+    pairs = queries.select("qid", *dims).join(r, F.col("qid") != F.col("ref_id") if skip_own else None)
     d = squared_distance([F.col(c) for c in dims], [F.col(f"r_{c}") for c in dims])
     return rank(pairs.select("qid", "ref_id", d.alias("d"), "y"), k)
 

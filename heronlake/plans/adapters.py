@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import merchant_id
 from ..operators.vectorize import vectorize
 from ..schemas import DIMS, MCC_RISK
+from ..sources.shared import Tables
 
 #: Category codes by event: the known ones in file order and two that are not listed.
 CODES = [*MCC_RISK, "0000", "9999"]
@@ -55,12 +58,18 @@ def vectors(spark: SparkSession, sf_dir: str, rounded: bool = True) -> DataFrame
     return vectorize(payloads(spark, sf_dir), ["event_id", "k", "y"], rounded)
 
 
-def event_queries(rows: DataFrame, modulus: int = 50) -> DataFrame:
-    return rows.where(F.col("event_id") % modulus == 0).select(F.col("event_id").alias("qid"), "y", *DIMS, F.array(*DIMS).alias("v"))
+def written_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vectors() written once, for queries that read them as queries, references and labels."""
+    return Tables(spark, "vectors").write(vectors(spark, sf_dir), "rows")
+
+
+def event_queries(rows: DataFrame) -> DataFrame:
+    """The set of questions: ids divisible by 20, each put to all rows but its own."""
+    return rows.where(F.col("event_id") % 20 == 0).select(F.col("event_id").alias("qid"), "y", *DIMS, F.array(*DIMS).alias("v"))
 
 
-def event_refs(rows: DataFrame, modulus: int = 50) -> DataFrame:
-    return rows.where(F.col("event_id") % modulus != 0).select(F.col("event_id").alias("ref_id"), "y", *DIMS, F.array(*DIMS).alias("v"))
+def event_refs(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("event_id").alias("ref_id"), "y", *DIMS, F.array(*DIMS).alias("v"))
 
 
 def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,12 +79,16 @@ def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def embedding_queries(rows: DataFrame) -> DataFrame:
-    return rows.where("vec_id % 10 = 0").select(F.col("vec_id").alias("qid"), "v")
+    return rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), "v")
 
 
 def embedding_refs(rows: DataFrame) -> DataFrame:
-    return rows.where("vec_id % 10 <> 0").select(F.col("vec_id").alias("ref_id"), "v", "y")
+    return rows.select(F.col("vec_id").alias("ref_id"), "v", "y")
 
 
-def embedding_centroids(rows: DataFrame) -> DataFrame:
-    return rows.where("vec_id % 25 = 1").select(F.col("vec_id").alias("cluster_id"), F.col("v").alias("c"))
+def embedding_centroids(rows: DataFrame) -> tuple[DataFrame, int]:
+    """About as many centroids as the root of the rows' number, and how many of them are probed: three quarters, as the neighbours of these
+    vectors, spread evenly on a sphere, lie in many clusters. Recall over all queries is 0.9 or more."""
+    step = max(1, int(math.sqrt(rows.count())))
+    chosen = rows.where(F.col("vec_id") % step == 0).select(F.col("vec_id").alias("cluster_id"), F.col("v").alias("c"))
+    return chosen, max(1, math.ceil(0.75 * chosen.count()))

@@ -36,15 +36,16 @@ def _votes(s: SparkSession, d: str) -> DataFrame:
     return knn.vote(_neighbours(s, d))
 
 
-def _neighbours(s: SparkSession, d: str) -> DataFrame:
-    v = adapters.vectors(s, d)
-    return knn.knn(adapters.event_queries(v), adapters.event_refs(v))
+def _neighbours(s: SparkSession, d: str, v: DataFrame | None = None) -> DataFrame:
+    v = v or adapters.written_vectors(s, d)
+    return knn.knn(adapters.event_queries(v), adapters.event_refs(v), skip_own=True)
 
 
 def _judged(s: SparkSession, d: str) -> DataFrame:
     """predicted and expected of each query."""
-    labels = adapters.vectors(s, d).select(F.col("event_id").alias("qid"), F.col("y").alias("expected"))
-    return _votes(s, d).join(labels, "qid").select(F.when(approved(F.col("fraud_score")), 0).otherwise(1).alias("predicted"), "expected")
+    v = adapters.written_vectors(s, d)
+    labels = v.select(F.col("event_id").alias("qid"), F.col("y").alias("expected"))
+    return knn.vote(_neighbours(s, d, v)).join(labels, "qid").select(F.when(approved(F.col("fraud_score")), 0).otherwise(1).alias("predicted"), "expected")
 
 
 def _probabilities(s: SparkSession, d: str) -> DataFrame:
@@ -111,8 +112,8 @@ def q_knn_exact(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def q_knn_pairs(s: SparkSession, d: str) -> DataFrame:
-    v = adapters.vectors(s, d)
-    return knn.knn_pairs(adapters.event_queries(v), adapters.event_refs(v)).select("qid", "rank", "ref_id", F.round("d", 6).alias("d2"))
+    v = adapters.written_vectors(s, d)
+    return knn.knn_pairs(adapters.event_queries(v), adapters.event_refs(v), skip_own=True).select("qid", "rank", "ref_id", F.round("d", 6).alias("d2"))
 
 
 @query
@@ -133,7 +134,7 @@ def q_fail_open(s: SparkSession, d: str) -> DataFrame:
 
 def _embedding_knn(s: SparkSession, d: str, metric: str) -> DataFrame:
     e = adapters.embeddings(s, d)
-    return knn.knn(adapters.embedding_queries(e), adapters.embedding_refs(e), metric=metric)
+    return knn.knn(adapters.embedding_queries(e), adapters.embedding_refs(e), metric=metric, skip_own=True)
 
 
 @query
@@ -172,48 +173,48 @@ def q_knn_i16(s: SparkSession, d: str) -> DataFrame:
     as_double = lambda c: F.transform(c, lambda x: x.cast("double"))  # noqa: E731  whole numbers: sums are exact
     q = adapters.embedding_queries(e).withColumn("v", as_double(_quantized("v", False)))
     r = adapters.embedding_refs(e).withColumn("v", as_double(_quantized("v", True)))
-    return knn.knn(q, r).select("qid", "rank", "ref_id", F.round(F.sqrt("d") / 32767.0, 6).alias("distance"))
+    return knn.knn(q, r, skip_own=True).select("qid", "rank", "ref_id", F.round(F.sqrt("d") / 32767.0, 6).alias("distance"))
 
 
-def _ivf(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _ivf(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, int]:
     e = adapters.embeddings(s, d)
-    c = adapters.embedding_centroids(e)
-    return adapters.embedding_queries(e), ivf.assign(adapters.embedding_refs(e), c), c
+    c, nprobe = adapters.embedding_centroids(e)
+    return adapters.embedding_queries(e), ivf.assign(adapters.embedding_refs(e), c), c, nprobe
 
 
 @query
 def q_ivf_offsets(s: SparkSession, d: str) -> DataFrame:
-    _, index, c = _ivf(s, d)
+    _, index, c, _ = _ivf(s, d)
     return ivf.offsets(index, c)
 
 
 @query
 def q_ivf_probe(s: SparkSession, d: str) -> DataFrame:
-    q, _, c = _ivf(s, d)
-    return ivf.nearest_centroids(q, "qid", c, 3).select("qid", "place", "cluster_id")
+    q, _, c, nprobe = _ivf(s, d)
+    return ivf.nearest_centroids(q, "qid", c, nprobe).select("qid", "place", "cluster_id")
 
 
 @query
 def q_ivf_knn(s: SparkSession, d: str) -> DataFrame:
-    q, index, c = _ivf(s, d)
-    return ivf.search(q, index, c, nprobe=3).select("qid", "rank", "ref_id", F.round("d", 6).alias("d"))
+    q, index, c, nprobe = _ivf(s, d)
+    return ivf.search(q, index, c, nprobe=nprobe, skip_own=True).select("qid", "rank", "ref_id", F.round("d", 6).alias("d"))
 
 
 @query
 def q_ivf_score(s: SparkSession, d: str) -> DataFrame:
-    q, index, c = _ivf(s, d)
-    return knn.vote(ivf.search(q, index, c, nprobe=3))
+    q, index, c, nprobe = _ivf(s, d)
+    return knn.vote(ivf.search(q, index, c, nprobe=nprobe, skip_own=True))
 
 
 @query
 def q_ivf_early_exit(s: SparkSession, d: str) -> DataFrame:
-    q, index, c = _ivf(s, d)
-    return ivf.search_early_exit(q, index, c, nprobe=3).select("qid", "rank", "ref_id", F.round(F.sqrt("d"), 6).alias("distance"))
+    q, index, c, nprobe = _ivf(s, d)
+    return ivf.search_early_exit(q, index, c, nprobe=nprobe, skip_own=True).select("qid", "rank", "ref_id", F.round(F.sqrt("d"), 6).alias("distance"))
 
 
 def _lsh(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    v = adapters.vectors(s, d)
-    return adapters.event_queries(v, 200), adapters.event_refs(v)
+    v = adapters.written_vectors(s, d)
+    return adapters.event_queries(v), adapters.event_refs(v)
 
 
 @query
@@ -224,12 +225,12 @@ def q_lsh_hash(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def q_lsh_candidates(s: SparkSession, d: str) -> DataFrame:
-    return lsh.candidates(*_lsh(s, d), fixed.PROJECTIONS, fixed.LSH_WIDTH).groupBy("qid").agg(F.count("*").alias("n"), F.sum("ref_id").alias("ids"))
+    return lsh.candidates(*_lsh(s, d), fixed.PROJECTIONS, fixed.LSH_WIDTH, skip_own=True).groupBy("qid").agg(F.count("*").alias("n"), F.sum("ref_id").alias("ids"))
 
 
 @query
 def q_lsh_knn(s: SparkSession, d: str) -> DataFrame:
-    return lsh.search(*_lsh(s, d), fixed.PROJECTIONS, fixed.LSH_WIDTH).select("qid", "rank", "ref_id", F.round(F.sqrt("d"), 6).alias("distance"))
+    return lsh.search(*_lsh(s, d), fixed.PROJECTIONS, fixed.LSH_WIDTH, skip_own=True).select("qid", "rank", "ref_id", F.round(F.sqrt("d"), 6).alias("distance"))
 
 
 @query
@@ -335,12 +336,12 @@ def q_band_coverage(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def q_two_stage(s: SparkSession, d: str) -> DataFrame:
-    """Forest first; only rows within the band go to neighbour search."""
-    v = adapters.vectors(s, d)
-    q = adapters.event_queries(v).withColumn("probability", models.forest_probability(fixed.FOREST))
+    """The forest for all events; those within the band go to neighbour search."""
+    v = adapters.written_vectors(s, d)
+    q = adapters.event_refs(v).withColumnRenamed("ref_id", "qid").withColumn("probability", models.forest_probability(fixed.FOREST))
     p, unsure = F.col("probability"), models.uncertain(F.col("probability"), 0.513, 0.2)
     sure = q.where(~unsure).select("qid", F.lit("forest").alias("stage"), models.classify(p, 0.513).alias("fraud"))
-    voted = knn.vote(knn.knn(q.where(unsure).select("qid", "v"), adapters.event_refs(v)))
+    voted = knn.vote(knn.knn(q.where(unsure).select("qid", "v"), adapters.event_refs(v), skip_own=True))
     return sure.union(voted.select("qid", F.lit("knn"), F.when(approved(F.col("fraud_score")), 0).otherwise(1)))
 
 

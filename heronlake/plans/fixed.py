@@ -6,7 +6,7 @@ WEIGHTS = [((i * 37) % 23 - 11) / 5 for i in range(14)]
 INTERCEPT = -0.75
 #: An 8 x 14 projection.
 MATRIX = [[((r * 13 + c * 7) % 11 - 5) / 10 for c in range(14)] for r in range(8)]
-LSH_TABLES, LSH_HASHES, LSH_WIDTH = 8, 4, 4.0
+LSH_TABLES, LSH_HASHES, LSH_WIDTH = 8, 4, 8.0
 PROJECTIONS = [[([((t * 131 + h * 31 + i * 17) % 41 - 20) / 2.5 for i in range(14)], ((t * 7 + h * 3) % 8) / 2) for h in range(LSH_HASHES)] for t in range(LSH_TABLES)]
 THRESHOLDS = [i / 10 for i in range(1, 10)]
 BANDS = [0.05, 0.1, 0.2, 0.3, 0.4]

@@ -51,14 +51,14 @@ def _d2(a: str, b: str) -> str:
 
 
 KNN = f"""
-p AS (SELECT q.event_id AS qid, r.event_id AS ref_id, r.y, {_d2("q", "r")} AS d FROM v q JOIN v r ON q.event_id % 50 = 0 AND r.event_id % 50 <> 0),
+p AS (SELECT q.event_id AS qid, r.event_id AS ref_id, r.y, {_d2("q", "r")} AS d FROM v q JOIN v r ON q.event_id % 20 = 0 AND r.event_id <> q.event_id),
 n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d, ref_id)::INT AS rank FROM p) WHERE rank <= 5),
 vote AS (SELECT qid, sum(y)::DOUBLE / 5.0::DOUBLE AS fraud_score FROM n GROUP BY qid)"""
 EMB = """
 m AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e, (label >= 7)::INT AS y FROM embeddings),
-q AS (SELECT vec_id AS qid, e FROM m WHERE vec_id % 10 = 0),
-r AS (SELECT vec_id AS ref_id, e, y FROM m WHERE vec_id % 10 <> 0),
-c AS (SELECT vec_id AS cluster_id, e FROM m WHERE vec_id % 25 = 1)"""
+q AS (SELECT vec_id AS qid, e FROM m WHERE vec_id % 20 = 0),
+r AS (SELECT vec_id AS ref_id, e, y FROM m),
+c AS (SELECT vec_id AS cluster_id, e FROM m WHERE vec_id % (SELECT floor(sqrt(count(*)))::BIGINT FROM embeddings) = 0)"""
 FOLD = "list_reduce(list_prepend(0.0::DOUBLE, {}), lambda s, t: s + t)"
 L2 = FOLD.format("list_transform(list_zip({a}, {b}), lambda z: (z[1] - z[2]) * (z[1] - z[2]))")
 L1 = FOLD.format("list_transform(list_zip({a}, {b}), lambda z: abs(z[1] - z[2]))")
@@ -97,18 +97,18 @@ LSH = f"""
 h AS (SELECT event_id, t.i AS table_idx, [{", ".join("CASE t.i " + " ".join(f"WHEN {t} THEN {_hash(t, h)}" for t in range(fixed.LSH_TABLES)) + " END" for h in range(fixed.LSH_HASHES))}] AS bucket_key
   FROM v, range({fixed.LSH_TABLES}) t(i)),
 met AS (SELECT DISTINCT a.event_id AS qid, b.event_id AS ref_id FROM h a JOIN h b ON a.table_idx = b.table_idx AND a.bucket_key = b.bucket_key
-  WHERE a.event_id % 200 = 0 AND b.event_id % 50 <> 0),
-poor AS (SELECT w.event_id AS qid FROM v w LEFT JOIN (SELECT qid, count(*) AS n FROM met GROUP BY qid) g ON w.event_id = g.qid WHERE w.event_id % 200 = 0 AND coalesce(n, 0) < 15),
-cand AS (SELECT * FROM met UNION SELECT qid, event_id FROM poor, (SELECT event_id FROM v WHERE event_id % 50 <> 0 ORDER BY event_id LIMIT 500))"""
+  WHERE a.event_id % 20 = 0 AND b.event_id <> a.event_id),
+poor AS (SELECT w.event_id AS qid FROM v w LEFT JOIN (SELECT qid, count(*) AS n FROM met GROUP BY qid) g ON w.event_id = g.qid WHERE w.event_id % 20 = 0 AND coalesce(n, 0) < 15),
+cand AS (SELECT * FROM met UNION SELECT qid, event_id FROM poor, (SELECT event_id FROM v ORDER BY event_id LIMIT 500) WHERE qid <> event_id)"""
 PROBE = f"""
 pr AS (SELECT * FROM (SELECT qid, cluster_id, cd, row_number() OVER (PARTITION BY qid ORDER BY cd, cluster_id) AS place FROM
-  (SELECT qid, cluster_id, {L2.format(a="q.e", b="c.e")} AS cd FROM q, c)) WHERE place <= 3),
+  (SELECT qid, cluster_id, {L2.format(a="q.e", b="c.e")} AS cd FROM q, c)) WHERE place <= (SELECT ceil(0.75 * count(*)) FROM c)),
 asg AS (SELECT ref_id, e, y, cluster_id FROM (SELECT ref_id, r.e, r.y, cluster_id, row_number() OVER (PARTITION BY ref_id ORDER BY {L2.format(a="r.e", b="c.e")}, cluster_id) AS place FROM r, c) WHERE place = 1)"""
 IVF = f"""
-near AS (SELECT pr.qid, pr.place, ref_id, asg.y, {L2.format(a="q.e", b="asg.e")} AS d FROM pr JOIN q ON pr.qid = q.qid JOIN asg ON pr.cluster_id = asg.cluster_id),
+near AS (SELECT pr.qid, pr.place, ref_id, asg.y, {L2.format(a="q.e", b="asg.e")} AS d FROM pr JOIN q ON pr.qid = q.qid JOIN asg ON pr.cluster_id = asg.cluster_id AND asg.ref_id <> pr.qid),
 n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d, ref_id)::INT AS rank FROM near) WHERE rank <= 5)"""
 EARLY = f"""
-near0 AS (SELECT pr.qid, pr.place, ref_id, asg.y, {L2.format(a="q.e", b="asg.e")} AS d FROM pr JOIN q ON pr.qid = q.qid JOIN asg ON pr.cluster_id = asg.cluster_id),
+near0 AS (SELECT pr.qid, pr.place, ref_id, asg.y, {L2.format(a="q.e", b="asg.e")} AS d FROM pr JOIN q ON pr.qid = q.qid JOIN asg ON pr.cluster_id = asg.cluster_id AND asg.ref_id <> pr.qid),
 kth AS (SELECT a.qid, a.place, (SELECT list_sort(list(b.d)) FROM near0 b WHERE b.qid = a.qid AND b.place <= a.place) AS ds, lead(cd) OVER (PARTITION BY a.qid ORDER BY a.place) AS nxt FROM pr a),
 stp AS (SELECT qid, min(place) AS last FROM kth WHERE len(ds) >= 5 AND sqrt(nxt) > 1.5::DOUBLE * sqrt(ds[5]) GROUP BY qid),
 near AS (SELECT near0.* FROM near0 LEFT JOIN stp ON near0.qid = stp.qid WHERE last IS NULL OR place <= last),
@@ -117,7 +117,7 @@ CENTROIDS = ", ".join(f"avg(d{i}) FILTER (y = {{y}}) AS m{i}" for i in range(14)
 
 
 def _metric(expression: str) -> str:
-    return f"""WITH {EMB}, p AS (SELECT qid, ref_id, r.y, {expression} AS d FROM q, r)
+    return f"""WITH {EMB}, p AS (SELECT qid, ref_id, r.y, {expression} AS d FROM q, r WHERE qid <> ref_id)
 SELECT qid, rank, ref_id, round(d, 6) AS d FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d, ref_id)::INT AS rank FROM p) WHERE rank <= 5"""
 
 
@@ -166,13 +166,13 @@ def oracles() -> dict[str, str]:
         "q_decision": f"WITH {BASE}, {KNN} SELECT fraud_score < 0.6::DOUBLE AS approved, count(*) AS n FROM vote GROUP BY 1",
         "q_fail_open": f"WITH {BASE}, {KNN} SELECT qid, coalesce(CASE WHEN qid % 3 = 0 THEN NULL ELSE fraud_score END, 0.5::DOUBLE) < 0.6::DOUBLE AS approved FROM vote",
         "q_knn_embeddings": _metric(L2.format(a="q.e", b="r.e")),
-        "q_brute_force_labels": f"""WITH {EMB}, p AS (SELECT qid, ref_id, r.y, {L2.format(a="q.e", b="r.e")} AS d FROM q, r), n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d, ref_id) AS rank FROM p) WHERE rank <= 5)
+        "q_brute_force_labels": f"""WITH {EMB}, p AS (SELECT qid, ref_id, r.y, {L2.format(a="q.e", b="r.e")} AS d FROM q, r WHERE qid <> ref_id), n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d, ref_id) AS rank FROM p) WHERE rank <= 5)
 SELECT qid, string_agg(y::VARCHAR, ',' ORDER BY rank) AS labels FROM n GROUP BY qid""",
         "q_knn_l1": _metric(L1.format(a="q.e", b="r.e")),
         "q_knn_cosine": _metric(f"1.0::DOUBLE - {DOT.format(a='q.e', b='r.e')} / (sqrt({DOT.format(a='q.e', b='q.e')}) * sqrt({DOT.format(a='r.e', b='r.e')}))"),
         "q_quantize_i16": f"WITH {EMB} SELECT vec_id, array_to_string(list_transform(e, lambda x: {STORED}), ',') AS quantized FROM m",
         "q_knn_i16": f"""WITH {EMB}, qi AS (SELECT qid, list_transform(e, lambda x: {ASKED}) AS e FROM q), ri AS (SELECT ref_id, list_transform(e, lambda x: {STORED}) AS e FROM r),
-p AS (SELECT qid, ref_id, list_sum(list_transform(list_zip(qi.e, ri.e), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM qi, ri)
+p AS (SELECT qid, ref_id, list_sum(list_transform(list_zip(qi.e, ri.e), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM qi, ri WHERE qid <> ref_id)
 SELECT qid, rank, ref_id, round(sqrt(d::DOUBLE) / 32767.0::DOUBLE, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d, ref_id)::INT AS rank FROM p) WHERE rank <= 5""",
         "q_ivf_offsets": f"WITH {EMB}, {PROBE}, s AS (SELECT c.cluster_id, count(ref_id) AS n FROM c LEFT JOIN asg ON c.cluster_id = asg.cluster_id GROUP BY c.cluster_id) SELECT cluster_id, n, coalesce(sum(n) OVER (ORDER BY cluster_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM s",
         "q_ivf_probe": f"WITH {EMB}, {PROBE} SELECT qid, place::INT AS place, cluster_id FROM pr",
@@ -197,9 +197,11 @@ SELECT qid, rank, ref_id, round(sqrt(d::DOUBLE) / 32767.0::DOUBLE, 6) AS distanc
         "q_best_threshold": f"WITH {BASE}, {PROB}, s AS (SELECT *, 25 * fp + 90 * fn AS penalty FROM ({SWEEP})) SELECT threshold, penalty FROM s ORDER BY penalty, threshold LIMIT 1",
         "q_grid_thresholds": f"WITH {BASE}, s AS (SELECT y, {POINTS} AS points, {SAFE} AS safe FROM v) {GRID}",
         "q_band_coverage": f"WITH {BASE}, {PROB} {BAND}",
-        "q_two_stage": f"""WITH {BASE}, {KNN}, s AS (SELECT event_id AS qid, {FOREST} AS probability FROM v WHERE event_id % 50 = 0)
-SELECT s.qid, CASE WHEN abs(probability - 0.513::DOUBLE) <= 0.2::DOUBLE THEN 'knn' ELSE 'forest' END AS stage,
-  CASE WHEN abs(probability - 0.513::DOUBLE) <= 0.2::DOUBLE THEN fraud_score >= 0.6::DOUBLE ELSE probability >= 0.513::DOUBLE END::INT AS fraud FROM s JOIN vote ON s.qid = vote.qid""",
+        "q_two_stage": f"""WITH {BASE}, s AS (SELECT event_id AS qid, {FOREST} AS probability FROM v), u AS (SELECT * FROM s WHERE abs(probability - 0.513::DOUBLE) <= 0.2::DOUBLE),
+p AS (SELECT q.event_id AS qid, r.event_id AS ref_id, r.y, {_d2("q", "r")} AS d FROM v q JOIN u ON q.event_id = u.qid JOIN v r ON r.event_id <> q.event_id),
+n AS (SELECT qid, arg_min(y, struct_pack(d := d, i := ref_id), 5) AS ys FROM p GROUP BY qid)
+SELECT qid, 'forest' AS stage, (probability >= 0.513::DOUBLE)::INT AS fraud FROM s WHERE abs(probability - 0.513::DOUBLE) > 0.2::DOUBLE
+UNION ALL SELECT qid, 'knn', (list_sum(ys)::DOUBLE / 5.0::DOUBLE >= 0.6::DOUBLE)::INT FROM n""",
         "q_hybrid_lda_cart": f"WITH {BASE}, s AS (SELECT y, {LDA} AS lda, {TREE} AS cart FROM raw) "
         + " UNION ALL ".join(
             f"SELECT {b}::INT AS band, count(*) FILTER (abs(lda) <= {b}) AS fallback, {COUNTS.format(p='pred', e='y')} FROM (SELECT *, CASE WHEN lda > {b} THEN 1 WHEN lda < -{b} THEN 0 WHEN cart > 0.5 THEN 1 ELSE 0 END AS pred FROM s)"

@@ -87,6 +87,47 @@ def test_lsh_finds_itself_and_falls_back(spark):
     assert lsh.candidates(far, rdf, p, 1.0, sample=30).count() == 30
 
 
+def recall(found, exact):
+    pairs = {(x.qid, x.ref_id) for x in exact.collect()}
+    return len(pairs & {(x.qid, x.ref_id) for x in found.collect()}) / len(pairs)
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.1"])
+def test_recall_of_the_inverted_files(spark, sf):
+    from heronlake.plans import catalogue
+
+    q = catalogue.queries()
+    exact = q["q_knn_embeddings"](spark, f"/root/testdata/{sf}")
+    assert recall(q["q_ivf_knn"](spark, f"/root/testdata/{sf}"), exact) >= 0.9
+
+
+def test_recall_of_hashing(spark):
+    from heronlake.plans import catalogue
+
+    q, d = catalogue.queries(), "/root/testdata/sf0.001"
+    found = recall(q["q_lsh_knn"](spark, d), q["q_knn_exact"](spark, d))
+    print("recall of hashing", found)
+    assert found >= 0.9
+
+
+def test_many_centroids_are_searched_in_shards(spark, monkeypatch):
+    _, rdf = vectors(spark, 300, 4, "ref_id", 6)
+    c = rdf.where("ref_id % 10 = 0").select(F.col("ref_id").alias("cluster_id"), F.col("v").alias("c"))
+    one = sorted((x.ref_id, x.cluster_id) for x in ivf.assign(rdf, c).collect())
+    monkeypatch.setattr(ivf, "BROADCAST_CENTROIDS", 5)
+    monkeypatch.setattr(knn, "SHARD_ROWS", 7)
+    monkeypatch.setattr(knn, "BLOCK_ROWS", 90)
+    assert sorted((x.ref_id, x.cluster_id) for x in ivf.assign(rdf, c).collect()) == one
+
+
+def test_own_rows_are_no_neighbours(spark):
+    _, rdf = vectors(spark, 50, 3, "ref_id", 7)
+    q = rdf.select(F.col("ref_id").alias("qid"), "v")
+    for metric in ("l2", "l1", "cosine"):
+        found = knn.knn(q, rdf, 49, metric, shards=3, skip_own=True).collect()
+        assert len(found) == 50 * 49 and all(x.qid != x.ref_id for x in found)
+
+
 def test_cosine(spark):
     d = knn.distances(np.array([[1.0, 0.0]]), np.array([[2.0, 0.0], [0.0, 3.0], [0.0, 0.0]]), "cosine")
     assert d.tolist() == [[0.0, 1.0, 1.0]]
