@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 
 def clamp01(x: Column) -> Column:
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
+    """x within 0 and 1; null stays null, which least() and greatest() alone would make the highest risk."""
+    return F.when(x.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)))
 
 
 def round_to(x: Column, digits: int) -> Column:

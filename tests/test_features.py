@@ -52,3 +52,8 @@ def test_scalar_functions(spark):
 def test_quantizers_differ_at_halves(spark):
     row = spark.createDataFrame([(0.5 / 32767 * 1, 2.0)], "h double, big double").select(scalar.quantize_i16(F.col("h"), True), scalar.quantize_i16(F.col("h"), False), scalar.quantize_i16(F.col("big"))).first()
     assert list(row) == [0, 1, 32767]
+
+
+def test_clamp_keeps_nulls(spark):
+    row = spark.createDataFrame([(None, -1.0, 0.25, 7.0)], "a double, b double, c double, d double").select(*[scalar.clamp01(F.col(x)) for x in "abcd"]).first()
+    assert list(row) == [None, 0.0, 0.25, 1.0]
