@@ -265,12 +265,13 @@ def _links(docs: DataFrame, nodes: DataFrame, tables: Tables, n: int, percent: i
     lists = _lists(nodes, tables, total)
     links, done, labels, sets, hubs, i = None, None, None, None, 1, 0
     while not lists.isEmpty():
-        # The first of each part, and of these the first of the list.
-        top = lists.withColumn("rank", F.row_number().over(Window.partitionBy("token", "part").orderBy("pos", "id"))).where(F.col("rank") <= hubs)
-        top = top.withColumn("rank", F.row_number().over(Window.partitionBy("token").orderBy("pos", "id"))).where(F.col("rank") <= hubs)
-        top = tables.write(top, f"top{i}")
+        # The first of some parts, so that no list is ordered in one task: hubs in all, or one a part where parts are more.
+        ranked = lists.withColumn("rank", F.row_number().over(Window.partitionBy("token", "part").orderBy("pos", "id")))
+        ranked = ranked.withColumn("is_hub", (F.col("part") < hubs) & (F.col("rank") <= F.ceil(F.lit(hubs) / F.col("in_parts")))).drop("rank")
+        top = tables.write(ranked.where("is_hub"), f"top{i}")
         hub = _spread(top.select("token", "in_parts", *[F.col(c).alias(f"hub_{c}") for c in ("id", "n", "pos", "root")]))
-        met = lists.join(hub, ["token", "part"]).where("root <> hub_root and (pos > hub_pos or pos = hub_pos and id > hub_id) and 100 * least(n, hub_n) >= {p} * greatest(n, hub_n) and (100 + {p}) * least(n - pos, hub_n - hub_pos) >= {p} * (n + hub_n)".format(p=percent))
+        # A hub meets all that are no hubs, and of two hubs the later meets the earlier.
+        met = ranked.join(hub, ["token", "part"]).where("root <> hub_root and (not is_hub or id > hub_id) and 100 * least(n, hub_n) >= {p} * greatest(n, hub_n) and (100 + {p}) * least(n - pos, hub_n - hub_pos) >= {p} * (n + hub_n)".format(p=percent))
         pairs = met.select(F.col("hub_id").alias("a"), F.col("id").alias("b"))
         if i == 0:  # first each node with the hub it meets most: most lists are then one component
             best = pairs.groupBy("a", "b").agg(F.count("*").alias("k")).groupBy("b").agg(F.max(F.struct("k", "a")).alias("x"))

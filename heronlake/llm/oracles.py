@@ -28,8 +28,9 @@ i AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS k
 e AS (SELECT a, b FROM i WHERE 100 * k >= 85 * (na + nb - k)),
 links AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
 reach(doc_id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON r.other = l.a)
-SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, c.component_id
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, c.component_id, coalesce(l.k, 0)::BIGINT AS n_links
 FROM sets s JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) c ON s.doc_id = c.doc_id
+LEFT JOIN (SELECT a, count(*) AS k FROM links GROUP BY a) l ON s.doc_id = l.a
 """.replace("{u}", UPPER).replace("{l}", LOWER)
 
 OP5 = r"""
