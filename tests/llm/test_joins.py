@@ -86,6 +86,18 @@ def test_a_star_that_needs_many_rounds(spark):
     assert sorted((x.doc_id, x.n_shingles, x.component_id) for x in found.collect()) == brute_components(rows)
 
 
+def test_lists_in_many_parts(spark, monkeypatch):
+    """Hubs come from some parts of a list only, at first from one; later rounds reach all parts."""
+    monkeypatch.setattr(jaccard, "LIST_ROWS", 3)
+    monkeypatch.setattr(jaccard, "HUB_GROWTH", 4)
+    common = " ".join(f"c{i}" for i in range(20))
+    texts = [common + " " + " ".join(f"u{j}x{i}" for i in range(12)) for j in range(12)]
+    texts += [t + " tail" for t in texts[:5]] + near_copies(5, groups=2, size=15)
+    rows = list(enumerate(texts))
+    found = jaccard.join(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((x.doc_id, x.n_shingles, x.component_id) for x in found.collect()) == brute_components(rows)
+
+
 def test_repeated_rows_null_ids_and_clashing_columns(spark):
     rows = [(5, "a b c d e", 1), (5, "a b c d e", 1), (None, "a b c d e", 2), (7, "other words are here now", 3), (None, "alone in the world today", 4)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, h long")
