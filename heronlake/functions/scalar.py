@@ -58,6 +58,10 @@ def quantize_i16(x: Column, half_even: bool = True) -> Column:
     return F.greatest(F.lit(-32767.0), F.least(F.lit(32767.0), whole)).cast("smallint")
 
 
+def quantized(v: Column | str, half_even: bool = True) -> Column:
+    return F.transform(v, lambda x: quantize_i16(x, half_even))
+
+
 def hash_cell(vector: Sequence[Column], projection: Sequence[float], offset: float, width: float) -> Column:
     """floor((a . v + b) / w)."""
     return F.floor((dot(vector, projection) + offset) / width).cast("long")
@@ -99,5 +103,41 @@ def duration_text(ms: Column) -> Column:
     )
 
 
+def bytes_text(n: Column) -> Column:
+    """Bytes in the unit that fits, in steps of a thousand, cut to two decimals."""
+    cut = lambda x: number_text(F.floor(x * 100) / 100)
+    sized = F.concat(cut(n), F.lit(" B"))
+    for power, unit in ((1, " kB"), (2, " MB"), (3, " GB"), (4, " TB")):
+        sized = F.when(n >= 1000.0**power, F.concat(cut(n / 1000.0**power), F.lit(unit))).otherwise(sized)
+    return sized
+
+
+def short_commit(commit: Column) -> Column:
+    return F.substring(commit, 1, 7)
+
+
+def padded(value: Column, width: int, left: bool = True) -> Column:
+    """Text of a column of a table: padded to a width, longer text as it is."""
+    text = value.cast("string")
+    fill = F.repeat(F.lit(" "), F.greatest(F.lit(0), F.lit(width) - F.length(text)))
+    return F.concat(fill, text) if left else F.concat(text, fill)
+
+
+def first_id(entries: Column, default: str | None = None) -> Column:
+    """id of the first of an array of structs; the default where the array is null or empty."""
+    return F.coalesce(F.get(entries, F.lit(0))["id"], F.lit(default))
+
+
+def stamp_utc() -> Column:
+    """The time of the query, in UTC whatever the session's zone, as ISO text."""
+    return F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def guarded(vector: Column, n: int, value: Column) -> Column:
+    """value where the vector has n components or more and none of the first n is null; null otherwise."""
+    whole = (F.size(vector) >= n) & F.forall(F.slice(vector, 1, n), lambda x: x.isNotNull())
+    return F.when(whole, value)
+
+
 def round_robin(number: Column, n: int) -> Column:
     return F.pmod(number - 1, F.lit(n))

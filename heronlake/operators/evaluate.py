@@ -59,6 +59,15 @@ def contest_score(results: DataFrame) -> DataFrame:
     return scored.withColumn("final_score", c("p99_score") + c("detection_score"))
 
 
+def request_counters(answers: DataFrame) -> DataFrame:
+    """tp_count, tn_count, fp_count, fn_count, error_count, error_rate, max_ms of answers (approved, expected_approved, ms) in one pass; an
+    answer whose approved is null is an error. Fraud is the positive class. Without rows the rate is 0 and max_ms null."""
+    a, e = F.col("approved"), F.col("expected_approved")
+    errors, some = F.count_if(a.isNull()), F.coalesce(F.nullif(F.count("*"), F.lit(0)), F.lit(1))
+    counts = {"tp_count": ~a & ~e, "tn_count": a & e, "fp_count": ~a & e, "fn_count": a & ~e}
+    return answers.agg(*[F.count_if(c).alias(n) for n, c in counts.items()], errors.alias("error_count"), (errors / some).alias("error_rate"), F.max("ms").alias("max_ms"))
+
+
 def dataset_stats(entries: DataFrame) -> DataFrame:
     """Counts and rates of expected_approved, expected_fraud_score."""
     fraud = F.count_if(~F.col("expected_approved"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import merchant_id
+from ..schemas import DIMS, PAYLOAD
 
 LEGIT_CODES, FRAUD_CODES = ("5411", "5812", "5912", "5311"), ("7995", "7801", "7802")
 ALL_CODES = ("5411", "5812", "5912", "5944", "7801", "7802", "7995", "4511", "5311", "5999")
@@ -70,3 +71,15 @@ def references(spark: SparkSession, n: int, fraud_ratio: float = 0.35, seed: int
     label = F.when((F.col("profile") == "fraud") | ((F.col("profile") == "borderline") & coin), "fraud").otherwise("legit")
     rows = vectorize(payloads(spark, n, fraud_ratio, seed), ["id", "profile"])
     return rows.select(F.array(*[f"d{i}" for i in range(14)]).alias("vector"), label.alias("label"))
+
+
+def golden_entries(requests: DataFrame, refs: DataFrame, skip_own: bool = False) -> DataFrame:
+    """qid, request, expected_approved, expected_fraud_score of payloads with a qid: each labelled by exact search among refs
+    (ref_id, v, y). Without references nothing speaks for fraud: the score is 0."""
+    from . import knn
+    from .vectorize import approved, vectorize
+
+    votes = knn.vote(knn.knn(vectorize(requests, ["qid"]).select("qid", F.array(*DIMS).alias("v")), refs, skip_own=skip_own))
+    packed = requests.select("qid", F.struct(*[f.name for f in PAYLOAD.fields]).alias("request"))
+    score = F.coalesce("fraud_score", F.lit(0.0))
+    return packed.join(votes, "qid", "left").select("qid", "request", approved(score).alias("expected_approved"), score.alias("expected_fraud_score"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -14,6 +16,7 @@ from ..schemas import DIMS, K
 PAIRS = 2_000_000
 #: References of a shard and queries of a block, in rows: what one task holds, whatever the size of either table.
 SHARD_ROWS, BLOCK_ROWS = 16_384, 4_096
+FOUND = "qid long, ref_id long, d double, y int"
 #: Rows of references up to which the pair plan may broadcast them.
 BROADCAST_ROWS = 50_000
 
@@ -69,6 +72,25 @@ def nearest(a: np.ndarray, qids: np.ndarray, b: np.ndarray, ids: np.ndarray, k:
     return row[good], at[good], d[good]
 
 
+def group_search(k: int, metric: str = "l2", skip_own: bool = False) -> Callable[[tuple, pa.Table, pa.Table], pa.Table]:
+    """What a task does with a block of queries (qid, qv) and a shard of references (ref_id, v, y), as FOUND rows."""
+
+    def run(key: tuple, q: pa.Table, r: pa.Table) -> pa.Table:
+        out: list[tuple] = []
+        if q.num_rows and r.num_rows:
+            order = np.argsort(r["ref_id"].to_numpy(), kind="stable")
+            ids, labels, b = r["ref_id"].to_numpy()[order], r["y"].to_numpy()[order], _matrix(r["v"])[order]
+            a, qids = _matrix(q["qv"]), q["qid"].to_numpy()
+            step = max(1, PAIRS // len(b))
+            for start in range(0, len(a), step):
+                row, at, d = nearest(a[start : start + step], qids[start : start + step], b, ids, k, metric, skip_own)
+                out.append((qids[start + row], ids[at], d, labels[at]))
+        types = (pa.int64(), pa.int64(), pa.float64(), pa.int32())
+        return pa.table({c: pa.array(np.concatenate([x[i] for x in out]) if out else [], t) for i, (c, t) in enumerate(zip(("qid", "ref_id", "d", "y"), types, strict=True))})
+
+    return run
+
+
 def knn(queries: DataFrame, refs: DataFrame, k: int = K, metric: str = "l2", shards: int | None = None, query_blocks: int | None = None, skip_own: bool = False) -> DataFrame:
     """qid, rank, ref_id, d, y for queries (qid, v) and refs (ref_id, v, y): the k nearest, ties to the smaller ref_id. d is the
     squared distance for l2. skip_own: a reference with the query's own id is none of its neighbours.
@@ -84,20 +106,7 @@ def knn(queries: DataFrame, refs: DataFrame, k: int = K, metric: str = "l2", sha
     q = queries.select("qid", F.col("v").alias("qv"), block.alias("qblock"), number(shards).alias("qshard"))
     r = refs.select("ref_id", "v", "y", F.pmod(F.xxhash64("ref_id"), F.lit(shards)).alias("shard"), number(query_blocks).alias("block"))
 
-    def run(key: tuple, q: pa.Table, r: pa.Table) -> pa.Table:
-        out: list[tuple] = []
-        if q.num_rows and r.num_rows:
-            order = np.argsort(r["ref_id"].to_numpy(), kind="stable")
-            ids, labels, b = r["ref_id"].to_numpy()[order], r["y"].to_numpy()[order], _matrix(r["v"])[order]
-            a, qids = _matrix(q["qv"]), q["qid"].to_numpy()
-            step = max(1, PAIRS // len(b))
-            for start in range(0, len(a), step):
-                row, at, d = nearest(a[start : start + step], qids[start : start + step], b, ids, k, metric, skip_own)
-                out.append((qids[start + row], ids[at], d, labels[at]))
-        types = (pa.int64(), pa.int64(), pa.float64(), pa.int32())
-        return pa.table({c: pa.array(np.concatenate([x[i] for x in out]) if out else [], t) for i, (c, t) in enumerate(zip(("qid", "ref_id", "d", "y"), types, strict=True))})
-
-    near = q.groupBy("qshard", "qblock").cogroup(r.groupBy("shard", "block")).applyInArrow(run, "qid long, ref_id long, d double, y int")
+    near = q.groupBy("qshard", "qblock").cogroup(r.groupBy("shard", "block")).applyInArrow(group_search(k, metric, skip_own), FOUND)
     return rank(near, k)
 
 

@@ -58,6 +58,12 @@ def class_covariances(rows: DataFrame, names: Sequence[str]) -> DataFrame:
     return wide.select("y", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"c_{i}_{j}").alias("cov")) for i, j in pairs])).alias("x")).select("y", "x.*")
 
 
+def pooled_covariance(rows: DataFrame, names: Sequence[str] = DIMS, ridge: float = 0.01) -> DataFrame:
+    """i, j, cov for i <= j: the mean of the two classes' covariances, with a ridge on the diagonal."""
+    ridged = F.when(F.col("i") == F.col("j"), ridge).otherwise(0.0)
+    return class_covariances(rows, names).groupBy("i", "j").agg((F.sum("cov") / 2.0).alias("cov")).select("i", "j", (F.col("cov") + ridged).alias("cov"))
+
+
 @dataclass
 class Moments:
     """Means and covariances of the two classes: a bounded result of one aggregation, for solving on the driver."""
@@ -98,6 +104,11 @@ def mahalanobis_squared(names: Sequence[str], mean: Sequence[float], inverse: Se
     return fold_sum([diff[i] * diff[j] * float(inverse[i][j]) for i in range(len(diff)) for j in range(len(diff))])
 
 
+def mahalanobis_difference(names: Sequence[str], legit: Sequence[float], fraud: Sequence[float], inverse: Sequence[Sequence[float]]) -> Column:
+    """Squared distance to the legit mean less that to the fraud mean: positive means nearer to fraud."""
+    return mahalanobis_squared(names, legit, inverse) - mahalanobis_squared(names, fraud, inverse)
+
+
 def project(matrix: Sequence[Sequence[float]], names: Sequence[str] = DIMS) -> list[Column]:
     """Rows of the matrix times the vector."""
     return [dot(columns(names), list(row)) for row in matrix]

@@ -9,8 +9,6 @@ from pyspark.ml.classification import DecisionTreeClassifier, RandomForestClassi
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.mllib.linalg import Vectors as OldVectors
-from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,10 +33,22 @@ def kmeans_centroids(rows: DataFrame, k: int, seed: int = 42, iterations: int =
     return rows.sparkSession.createDataFrame(centres, "cluster_id long, c array<double>")
 
 
+def gram(rows: DataFrame, names: Sequence[str] = DIMS) -> DataFrame:
+    """i, j, total for i <= j: sums of products of columns, as one aggregation inside the JVM."""
+    pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
+    wide = rows.agg(*[F.sum(F.col(names[i]) * F.col(names[j])).alias(f"g_{i}_{j}") for i, j in pairs])
+    return wide.select(F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"g_{i}_{j}").alias("total")) for i, j in pairs])).alias("x")).select("x.*")
+
+
 def truncated_svd(rows: DataFrame, k: int, names: Sequence[str] = DIMS) -> list[list[float]]:
-    """The k first right singular vectors of the uncentred rows, as rows; the entry of largest size is positive."""
-    matrix = RowMatrix(rows.select(*names).rdd.map(lambda r: OldVectors.dense(list(r))))
-    v = np.array(matrix.computeSVD(k).V.toArray()).T
+    """The k first right singular vectors of the uncentred rows, as rows; the entry of largest size is positive. They are the
+    eigenvectors of gram(), which has as many entries as the columns squared. Without rows: an error."""
+    products = np.zeros((len(names), len(names)))
+    for r in gram(rows, names).collect():
+        if r["total"] is None:
+            raise ValueError("no rows to decompose")
+        products[r["i"], r["j"]] = products[r["j"], r["i"]] = r["total"]
+    v = np.linalg.eigh(products)[1][:, ::-1].T[:k]
     signs = np.sign(v[np.arange(len(v)), np.abs(v).argmax(axis=1)])
     return (v * signs[:, None]).tolist()
 

@@ -72,6 +72,12 @@ def event_refs(rows: DataFrame) -> DataFrame:
     return rows.select(F.col("event_id").alias("ref_id"), "y", *DIMS, F.array(*DIMS).alias("v"))
 
 
+def event_centroids(rows: DataFrame) -> DataFrame:
+    """About as many centroids as the root of the rows' number."""
+    step = max(1, int(math.sqrt(rows.count())))
+    return event_refs(rows).where(F.col("ref_id") % step == 0).select(F.col("ref_id").alias("cluster_id"), F.col("v").alias("c"))
+
+
 def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """vec_id, v, y."""
     e = table(spark, sf_dir, "embeddings")

@@ -12,6 +12,7 @@ from ..operators import evaluate, generate, ivf, knn, lsh, models, training
 from ..operators.vectorize import approved, vectorize
 from ..schemas import DIMS, MCC_RISK, PAYLOAD
 from ..sources import sinks
+from ..sources.shared import Tables
 from ..streaming import scoring
 from . import adapters, fixed, sql
 
@@ -158,28 +159,24 @@ def q_knn_cosine(s: SparkSession, d: str) -> DataFrame:
     return _embedding_knn(s, d, "cosine").select("qid", "rank", "ref_id", F.round("d", 6).alias("d"))
 
 
-def _quantized(v: str, half_even: bool) -> Column:
-    return F.transform(v, lambda x: scalar.quantize_i16(x, half_even))
-
-
 @query
 def q_quantize_i16(s: SparkSession, d: str) -> DataFrame:
-    return adapters.embeddings(s, d).select("vec_id", F.array_join(F.transform(_quantized("v", True), lambda x: x.cast("string")), ",").alias("quantized"))
+    return adapters.embeddings(s, d).select("vec_id", F.array_join(F.transform(scalar.quantized("v", True), lambda x: x.cast("string")), ",").alias("quantized"))
 
 
 @query
 def q_knn_i16(s: SparkSession, d: str) -> DataFrame:
     e = adapters.embeddings(s, d)
     as_double = lambda c: F.transform(c, lambda x: x.cast("double"))  # noqa: E731  whole numbers: sums are exact
-    q = adapters.embedding_queries(e).withColumn("v", as_double(_quantized("v", False)))
-    r = adapters.embedding_refs(e).withColumn("v", as_double(_quantized("v", True)))
+    q = adapters.embedding_queries(e).withColumn("v", as_double(scalar.quantized("v", False)))
+    r = adapters.embedding_refs(e).withColumn("v", as_double(scalar.quantized("v", True)))
     return knn.knn(q, r, skip_own=True).select("qid", "rank", "ref_id", F.round(F.sqrt("d") / 32767.0, 6).alias("distance"))
 
 
 def _ivf(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, int]:
     e = adapters.embeddings(s, d)
     c, nprobe = adapters.embedding_centroids(e)
-    return adapters.embedding_queries(e), ivf.assign(adapters.embedding_refs(e), c), c, nprobe
+    return adapters.embedding_queries(e), Tables(s, "index").write(ivf.assign(adapters.embedding_refs(e), c), "rows"), c, nprobe
 
 
 @query
@@ -206,6 +203,12 @@ def q_ivf_score(s: SparkSession, d: str) -> DataFrame:
     return knn.vote(ivf.search(q, index, c, nprobe=nprobe, skip_own=True))
 
 
+@query
+def q_ivf_i16(s: SparkSession, d: str) -> DataFrame:
+    q, index, c, nprobe = _ivf(s, d)
+    return ivf.search_i16(q, index, c, nprobe=nprobe, skip_own=True).select("qid", "rank", "ref_id", F.round("distance", 6).alias("distance"))
+
+
 @query
 def q_ivf_early_exit(s: SparkSession, d: str) -> DataFrame:
     q, index, c, nprobe = _ivf(s, d)
@@ -262,6 +265,18 @@ def q_centroids(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def q_pooled_cov(s: SparkSession, d: str) -> DataFrame:
+    return models.pooled_covariance(adapters.vectors(s, d)).select("i", "j", F.round("cov", 6).alias("cov"))
+
+
+@query
+def q_mahalanobis_difference(s: SparkSession, d: str) -> DataFrame:
+    names = [f"p{i}" for i in range(8)]
+    p = adapters.vectors(s, d).select("event_id", *[x.alias(n) for n, x in zip(names, models.project(fixed.MATRIX), strict=True)])
+    return p.select("event_id", scalar.round_to(models.mahalanobis_difference(names, *fixed.MEANS, fixed.INVERSE), 6).alias("difference"))
+
+
+@query
+def q_class_cov(s: SparkSession, d: str) -> DataFrame:
     return models.class_covariances(adapters.vectors(s, d), DIMS[:8]).select("y", "i", "j", F.round("cov", 6).alias("cov"))
 
 
@@ -334,17 +349,28 @@ def q_band_coverage(s: SparkSession, d: str) -> DataFrame:
     return evaluate.band_coverage(_probabilities(s, d), 0.5, fixed.BANDS)
 
 
-@query
-def q_two_stage(s: SparkSession, d: str) -> DataFrame:
+def _two_stage(v: DataFrame, search: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
     """The forest for all events; those within the band go to neighbour search."""
-    v = adapters.written_vectors(s, d)
     q = adapters.event_refs(v).withColumnRenamed("ref_id", "qid").withColumn("probability", models.forest_probability(fixed.FOREST))
     p, unsure = F.col("probability"), models.uncertain(F.col("probability"), 0.513, 0.2)
     sure = q.where(~unsure).select("qid", F.lit("forest").alias("stage"), models.classify(p, 0.513).alias("fraud"))
-    voted = knn.vote(knn.knn(q.where(unsure).select("qid", "v"), adapters.event_refs(v), skip_own=True))
+    voted = knn.vote(search(q.where(unsure).select("qid", "v"), adapters.event_refs(v)))
     return sure.union(voted.select("qid", F.lit("knn"), F.when(approved(F.col("fraud_score")), 0).otherwise(1)))
 
 
+@query
+def q_two_stage(s: SparkSession, d: str) -> DataFrame:
+    return _two_stage(adapters.written_vectors(s, d), lambda q, r: knn.knn(q, r, skip_own=True))
+
+
+@query
+def q_two_stage_ivf(s: SparkSession, d: str) -> DataFrame:
+    v = adapters.written_vectors(s, d)
+    c = adapters.event_centroids(v)
+    index = Tables(s, "index").write(ivf.assign(adapters.event_refs(v), c), "rows")
+    return _two_stage(v, lambda q, _: ivf.search(q, index, c, skip_own=True))
+
+
 @query
 def q_hybrid_lda_cart(s: SparkSession, d: str) -> DataFrame:
     rows = adapters.vectors(s, d, rounded=False).select("y", models.linear_score(fixed.WEIGHTS, fixed.INTERCEPT).alias("lda"), models.tree_value(fixed.TREE).alias("cart"))
@@ -384,6 +410,36 @@ def q_dataset_stats(s: SparkSession, d: str) -> DataFrame:
     return evaluate.dataset_stats(_votes(s, d).select(approved(score).alias("expected_approved"), score.alias("expected_fraud_score")))
 
 
+def _golden(s: SparkSession, d: str) -> DataFrame:
+    requests = adapters.payloads(s, d).where("event_id % 20 = 0").withColumn("qid", F.col("event_id"))
+    return generate.golden_entries(requests, adapters.event_refs(adapters.written_vectors(s, d)), skip_own=True)
+
+
+@query
+def q_golden_entries(s: SparkSession, d: str) -> DataFrame:
+    return _golden(s, d).select("qid", F.col("request.id").alias("id"), F.round("request.transaction.amount", 6).alias("amount"), "expected_approved", "expected_fraud_score")
+
+
+@query
+def q_golden_stats(s: SparkSession, d: str) -> DataFrame:
+    return evaluate.dataset_stats(_golden(s, d))
+
+
+@query
+def q_request_counters(s: SparkSession, d: str) -> DataFrame:
+    """Every seventh answer is missing; the time is the event's amount."""
+    rules = models.risk_points() < 30
+    e = adapters.table(s, d, "events").select("event_id", F.col("value").alias("ms"))
+    rows = adapters.vectors(s, d).select("event_id", F.when(F.col("event_id") % 7 != 0, rules).alias("approved"), (F.col("y") == 0).alias("expected_approved"))
+    return evaluate.request_counters(rows.join(e, "event_id")).withColumn("error_rate", F.round("error_rate", 6))
+
+
+@query
+def q_text_columns(s: SparkSession, d: str) -> DataFrame:
+    e = adapters.table(s, d, "events")
+    return e.select("event_id", scalar.padded(F.col("event_id"), 10).alias("number"), scalar.padded(F.col("event_type"), 10, left=False).alias("kind"), scalar.short_commit(F.md5("props")).alias("commit"))
+
+
 @query
 def q_ramp_requests(s: SparkSession, d: str) -> DataFrame:
     return evaluate.ramp_requests(s.createDataFrame([(1, 60, 450), (2, 60, 900), (3, 30, 901)], "stage int, duration long, target long"), 1)
@@ -433,6 +489,13 @@ def q_train_kmeans(s: SparkSession, d: str) -> DataFrame:
     return training.kmeans_centroids(adapters.embeddings(s, d), 16)
 
 
+@query
+def q_gram(s: SparkSession, d: str) -> DataFrame:
+    """Over features in ten-thousandths: whole numbers, whose sums are exact."""
+    rows = adapters.vectors(s, d).select(*[F.round(F.col(x) * 10000.0).alias(x) for x in DIMS])
+    return training.gram(rows)
+
+
 @query
 def q_train_svd(s: SparkSession, d: str) -> DataFrame:
     matrix = training.truncated_svd(adapters.vectors(s, d), 8)

@@ -6,6 +6,9 @@ WEIGHTS = [((i * 37) % 23 - 11) / 5 for i in range(14)]
 INTERCEPT = -0.75
 #: An 8 x 14 projection.
 MATRIX = [[((r * 13 + c * 7) % 11 - 5) / 10 for c in range(14)] for r in range(8)]
+#: Means and a symmetric matrix in the eight projected dimensions.
+MEANS = [[((s * 5 + r * 3) % 7 - 3) / 4 for r in range(8)] for s in range(2)]
+INVERSE = [[1.5 if r == c else ((r + c) % 3 - 1) / 8 for c in range(8)] for r in range(8)]
 LSH_TABLES, LSH_HASHES, LSH_WIDTH = 8, 4, 12.0
 PROJECTIONS = [[([((t * 131 + h * 31 + i * 17) % 41 - 20) / 2.5 for i in range(14)], ((t * 7 + h * 3) % 8) / 2) for h in range(LSH_HASHES)] for t in range(LSH_TABLES)]
 THRESHOLDS = [i / 10 for i in range(1, 10)]

@@ -129,6 +129,27 @@ g AS (SELECT {CENTROIDS.format(y=0)} FROM v), b AS (SELECT {CENTROIDS.format(y=1
 s AS (SELECT event_id, v.y, {POINTS} AS points, {SAFE} AS safe, {" + ".join(f"(d{i} - g.m{i}) * (d{i} - g.m{i})" for i in range(14))} AS l, {" + ".join(f"(d{i} - b.m{i}) * (d{i} - b.m{i})" for i in range(14))} AS f FROM v, g, b),
 t AS (SELECT event_id, y, CASE WHEN points < 10 AND safe THEN 'legit_fast' WHEN points > 60 THEN 'fraud_fast' WHEN {RATIO} > 0.65 THEN 'fraud' WHEN {RATIO} < 0.35 THEN 'legit' ELSE 'knn' END AS tier FROM s)"""
 COV = " UNION ALL ".join(f"SELECT y, {i} AS i, {j} AS j, round(covar_samp(d{i}, d{j}), 6) AS cov FROM v GROUP BY y" for i in range(8) for j in range(i, 8))
+PAIRS14 = [(i, j) for i in range(14) for j in range(i, 14)]
+POOLED = f"""c AS (SELECT y, unnest([{", ".join(f"struct_pack(i := {i}, j := {j}, cov := covar_samp(d{i}, d{j}))" for i, j in PAIRS14)}]) AS x FROM v GROUP BY y)
+SELECT x.i AS i, x.j AS j, round(sum(x.cov) / 2.0::DOUBLE + CASE WHEN x.i = x.j THEN 0.01::DOUBLE ELSE 0.0::DOUBLE END, 6) AS cov FROM c GROUP BY x.i, x.j"""
+GRAM = f"""g AS (SELECT unnest([{", ".join(f"struct_pack(i := {i}, j := {j}, total := sum(round(d{i} * 10000.0::DOUBLE) * round(d{j} * 10000.0::DOUBLE)))" for i, j in PAIRS14)}]) AS x FROM v)
+SELECT x.i AS i, x.j AS j, x.total AS total FROM g"""
+PROJECTED = ", ".join(" + ".join(f"d{c} * ({x}::DOUBLE)" for c, x in enumerate(row)) + f" AS p{i}" for i, row in enumerate(fixed.MATRIX))
+
+
+def _squared(mean: list[float]) -> str:
+    return "(" + " + ".join(f"(p{i} - ({mean[i]}::DOUBLE)) * (p{j} - ({mean[j]}::DOUBLE)) * ({fixed.INVERSE[i][j]}::DOUBLE)" for i in range(8) for j in range(8)) + ")"
+
+
+TWO_STAGE = f"""s AS (SELECT event_id AS qid, {FOREST} AS probability FROM v), u AS (SELECT * FROM s WHERE abs(probability - 0.513::DOUBLE) <= 0.2::DOUBLE)"""
+IVF_EVENTS = f"""c AS (SELECT event_id AS cluster_id, {D} FROM v WHERE event_id % (SELECT floor(sqrt(count(*)))::BIGINT FROM events) = 0),
+asg AS (SELECT v.event_id AS ref_id, arg_min(c.cluster_id, struct_pack(d := {_d2("v", "c")}, i := c.cluster_id)) AS cluster_id FROM v, c GROUP BY v.event_id),
+pr AS (SELECT q.event_id AS qid, unnest(arg_min(c.cluster_id, struct_pack(d := {_d2("q", "c")}, i := c.cluster_id), 24)) AS cluster_id FROM v q JOIN u ON q.event_id = u.qid, c GROUP BY q.event_id),
+p AS (SELECT q.event_id AS qid, r.event_id AS ref_id, r.y, {_d2("q", "r")} AS d FROM pr JOIN v q ON q.event_id = pr.qid JOIN asg ON asg.cluster_id = pr.cluster_id JOIN v r ON r.event_id = asg.ref_id AND r.event_id <> q.event_id)"""
+DECIDED = """n AS (SELECT qid, arg_min(y, struct_pack(d := d, i := ref_id), 5) AS ys FROM p GROUP BY qid)
+SELECT qid, 'forest' AS stage, (probability >= 0.513::DOUBLE)::INT AS fraud FROM s WHERE abs(probability - 0.513::DOUBLE) > 0.2::DOUBLE
+UNION ALL SELECT qid, 'knn', (list_sum(ys)::DOUBLE / 5.0::DOUBLE >= 0.6::DOUBLE)::INT FROM n"""
+STATS = f"c AS (SELECT count(*) AS n, count(*) FILTER (fraud_score >= 0.6::DOUBLE) AS f, count(*) FILTER (fraud_score = 0.6::DOUBLE) AS g FROM vote) SELECT n AS total, f AS fraud_count, n - f AS legit_count, {_r4('f::DOUBLE / n')} AS fraud_rate, {_r4('(n - f)::DOUBLE / n')} AS legit_rate, g AS edge_case_count, {_r4('g::DOUBLE / n')} AS edge_case_rate FROM c"
 STAGES = "(VALUES (1, 60::BIGINT, 450::BIGINT), (2, 60::BIGINT, 900::BIGINT), (3, 30::BIGINT, 901::BIGINT)) s(stage, duration, target)"
 SCORES = "(VALUES (0, 0, 0, 1.0::DOUBLE), (5, 5, 0, 3.0), (0, 0, 0, 100.0), (30, 20, 0, 10.0), (100, 50, 0, 300.0), (500, 250, 0, 200.0), (500, 300, 0, 10.0), (0, 0, 5000, 60000.0), (40, 15, 0, 5.81), (0, 0, 0, 0.0)) s(fp, fn, err, p99)"
 PROB = f"pb AS (SELECT event_id, y AS expected, {FOREST} AS probability FROM v)"
@@ -186,7 +207,22 @@ SELECT qid, rank, ref_id, round(sqrt(d::DOUBLE) / 32767.0::DOUBLE, 6) AS distanc
         "q_fast_path": f"WITH {BASE}, s AS (SELECT y, CASE WHEN {POINTS} < 15 AND {SAFE} THEN 'legit_fast' WHEN {POINTS} > 70 THEN 'fraud_fast' ELSE 'miss' END AS method FROM v) SELECT method, y, count(*) AS n FROM s GROUP BY method, y",
         "q_three_tier_centroid": f"WITH {BASE}, {THREE_TIER} SELECT tier, y, count(*) AS n FROM t GROUP BY tier, y",
         "q_centroids": f"WITH {BASE} SELECT y, count(*) AS n, {', '.join(f'round(avg(d{i}), 6) AS d{i}' for i in range(14))} FROM v GROUP BY y",
-        "q_pooled_cov": f"WITH {BASE} {COV}",
+        "q_class_cov": f"WITH {BASE} {COV}",
+        "q_pooled_cov": f"WITH {BASE}, {POOLED}",
+        "q_gram": f"WITH {BASE}, {GRAM}",
+        "q_mahalanobis_difference": f"WITH {BASE}, w AS (SELECT event_id, {PROJECTED} FROM v) SELECT event_id, floor(({_squared(fixed.MEANS[0])} - {_squared(fixed.MEANS[1])}) * 1000000.0::DOUBLE + 0.5::DOUBLE) / 1000000.0::DOUBLE AS difference FROM w",
+        "q_two_stage_ivf": f"WITH {BASE}, {TWO_STAGE}, {IVF_EVENTS}, {DECIDED}",
+        "q_ivf_i16": f"""WITH {EMB}, {PROBE}, qi AS (SELECT qid, list_transform(e, lambda x: {ASKED}) AS e FROM q), ri AS (SELECT ref_id, cluster_id, list_transform(e, lambda x: {STORED}) AS e FROM asg),
+p AS (SELECT pr.qid, ref_id, list_sum(list_transform(list_zip(qi.e, ri.e), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM pr JOIN qi ON pr.qid = qi.qid JOIN ri ON pr.cluster_id = ri.cluster_id AND ref_id <> pr.qid)
+SELECT qid, rank, ref_id, round(sqrt(d::DOUBLE) / 32767.0::DOUBLE, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d, ref_id)::INT AS rank FROM p) WHERE rank <= 5""",
+        "q_golden_entries": f"WITH {BASE}, {KNN} SELECT qid, 'tx-' || qid AS id, round(f0.amount, 6) AS amount, fraud_score < 0.6::DOUBLE AS expected_approved, fraud_score AS expected_fraud_score FROM vote JOIN f0 ON vote.qid = f0.event_id",
+        "q_golden_stats": f"WITH {BASE}, {KNN}, {STATS}",
+        "q_request_counters": f"""WITH {BASE}, a AS (SELECT CASE WHEN event_id % 7 <> 0 THEN {POINTS} < 30 END AS a, y = 0 AS e, value AS ms FROM v JOIN events USING (event_id))
+SELECT count(*) FILTER (NOT a AND NOT e) AS tp_count, count(*) FILTER (a AND e) AS tn_count, count(*) FILTER (NOT a AND e) AS fp_count, count(*) FILTER (a AND NOT e) AS fn_count,
+count(*) FILTER (a IS NULL) AS error_count, round(count(*) FILTER (a IS NULL) / count(*)::DOUBLE, 6) AS error_rate, max(ms) AS max_ms FROM a""",
+        "q_text_columns": "SELECT event_id, repeat(' ', greatest(0, 10 - length(event_id::VARCHAR))) || event_id AS number, event_type || repeat(' ', greatest(0, 10 - length(event_type))) AS kind, md5(props)[1:7] AS commit FROM events",
+        "q_stream_score": f"""WITH {BASE}, s AS (SELECT event_id, {LDA} AS lda, {TREE} AS cart FROM raw), f AS (SELECT event_id, CASE WHEN lda > 2 THEN 1.0 WHEN lda < -2 THEN 0.0 WHEN cart > 0.5 THEN 1.0 ELSE 0.0 END::DOUBLE AS x FROM s)
+SELECT 'tx-' || event_id AS id, x < 0.6::DOUBLE AS approved, x AS fraud_score, CASE WHEN x = 1 THEN '{{"approved":false,"fraud_score":1.0}}' ELSE '{{"approved":true,"fraud_score":0.0}}' END AS body FROM f""",
         "q_svd_project": f"WITH {BASE} SELECT event_id, {', '.join('round(' + ' + '.join(f'd{c} * ({x}::DOUBLE)' for c, x in enumerate(row)) + f', 6) + 0.0::DOUBLE AS p{i}' for i, row in enumerate(fixed.MATRIX))} FROM v",
         "q_lda_score": f"WITH {BASE} SELECT event_id, round({LDA}, 6) AS score FROM raw",
         "q_lda_gate_cart": f"WITH {BASE}, s AS (SELECT event_id, {LDA} AS lda, {TREE} AS cart FROM raw) SELECT event_id, CASE WHEN lda > 2 THEN 1 WHEN lda < -2 THEN 0 WHEN cart > 0.5 THEN 1 ELSE 0 END::INT AS fraud FROM s",
@@ -197,11 +233,9 @@ SELECT qid, rank, ref_id, round(sqrt(d::DOUBLE) / 32767.0::DOUBLE, 6) AS distanc
         "q_best_threshold": f"WITH {BASE}, {PROB}, s AS (SELECT *, 25 * fp + 90 * fn AS penalty FROM ({SWEEP})) SELECT threshold, penalty FROM s ORDER BY penalty, threshold LIMIT 1",
         "q_grid_thresholds": f"WITH {BASE}, s AS (SELECT y, {POINTS} AS points, {SAFE} AS safe FROM v) {GRID}",
         "q_band_coverage": f"WITH {BASE}, {PROB} {BAND}",
-        "q_two_stage": f"""WITH {BASE}, s AS (SELECT event_id AS qid, {FOREST} AS probability FROM v), u AS (SELECT * FROM s WHERE abs(probability - 0.513::DOUBLE) <= 0.2::DOUBLE),
+        "q_two_stage": f"""WITH {BASE}, {TWO_STAGE},
 p AS (SELECT q.event_id AS qid, r.event_id AS ref_id, r.y, {_d2("q", "r")} AS d FROM v q JOIN u ON q.event_id = u.qid JOIN v r ON r.event_id <> q.event_id),
-n AS (SELECT qid, arg_min(y, struct_pack(d := d, i := ref_id), 5) AS ys FROM p GROUP BY qid)
-SELECT qid, 'forest' AS stage, (probability >= 0.513::DOUBLE)::INT AS fraud FROM s WHERE abs(probability - 0.513::DOUBLE) > 0.2::DOUBLE
-UNION ALL SELECT qid, 'knn', (list_sum(ys)::DOUBLE / 5.0::DOUBLE >= 0.6::DOUBLE)::INT FROM n""",
+{DECIDED}""",
         "q_hybrid_lda_cart": f"WITH {BASE}, s AS (SELECT y, {LDA} AS lda, {TREE} AS cart FROM raw) "
         + " UNION ALL ".join(
             f"SELECT {b}::INT AS band, count(*) FILTER (abs(lda) <= {b}) AS fallback, {COUNTS.format(p='pred', e='y')} FROM (SELECT *, CASE WHEN lda > {b} THEN 1 WHEN lda < -{b} THEN 0 WHEN cart > 0.5 THEN 1 ELSE 0 END AS pred FROM s)"
@@ -214,7 +248,7 @@ x AS (SELECT *, CASE WHEN p99 <= 0 THEN 0.0::DOUBLE WHEN p99 > 2000 THEN -3000.0
   CASE WHEN rate > 0.15::DOUBLE THEN -3000.0::DOUBLE ELSE 1000.0::DOUBLE * log10(1.0::DOUBLE / greatest(e / 5000.0::DOUBLE, 0.001::DOUBLE)) - 300.0::DOUBLE * log10(1.0::DOUBLE + e) END AS d FROM b)
 SELECT fp, fn, err, p99, e AS weighted_errors, round(p, 2) AS p99_score, round(d, 2) AS detection_score, round(p + d, 2) AS final_score FROM x""",
         "q_p99": "SELECT event_type, round(quantile_cont(value, 0.99), 6) AS p99 FROM events GROUP BY event_type",
-        "q_dataset_stats": f"WITH {BASE}, {KNN}, c AS (SELECT count(*) AS n, count(*) FILTER (fraud_score >= 0.6::DOUBLE) AS f, count(*) FILTER (fraud_score = 0.6::DOUBLE) AS g FROM vote) SELECT n AS total, f AS fraud_count, n - f AS legit_count, {_r4('f::DOUBLE / n')} AS fraud_rate, {_r4('(n - f)::DOUBLE / n')} AS legit_rate, g AS edge_case_count, {_r4('g::DOUBLE / n')} AS edge_case_rate FROM c",
+        "q_dataset_stats": f"WITH {BASE}, {KNN}, {STATS}",
         "q_ramp_requests": f"WITH x AS (SELECT *, lag(target, 1, 1::BIGINT) OVER (ORDER BY stage) AS rate_from FROM {STAGES}), y AS (SELECT stage::INT AS stage, duration, target, rate_from, ((rate_from + target) * duration) // 2 AS requests FROM x) SELECT *, sum(requests) OVER (ORDER BY stage)::BIGINT AS cumulative FROM y",
         "q_stratified_sample": f"WITH {BASE} SELECT y, event_id FROM (SELECT y, event_id, row_number() OVER (PARTITION BY y ORDER BY event_id) AS n FROM v) WHERE n <= 100",
         "q_false_positives_top20": f"WITH {BASE} SELECT event_id, {POINTS} AS points, d0, d11 FROM v WHERE {POINTS} < 15 AND {SAFE} AND y = 1 ORDER BY event_id LIMIT 20",

@@ -27,6 +27,17 @@ def references(spark: SparkSession, path: str, lines: bool = False) -> DataFrame
     return rows.select(F.when(good, F.col("vector")).otherwise(F.raise_error(message).cast("array<double>")).alias("vector"), "label")
 
 
+def strict_payloads(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """payloads(), but a cut-off file, another document than objects or a value of a wrong type is an error when the row is read."""
+    return spark.read.schema(PAYLOAD).option("multiLine", not lines).option("mode", "FAILFAST").json(path)
+
+
+def golden_stats(spark: SparkSession, path: str) -> DataFrame:
+    """One row: the stats of a document (or of the stats folder of write_golden) and references_checksum_sha256."""
+    stats = "stats struct<total: long, fraud_count: long, legit_count: long, fraud_rate: double, legit_rate: double, edge_case_count: long, edge_case_rate: double>"
+    return spark.read.schema(stats + ", references_checksum_sha256 string").option("multiLine", True).json(path).select("stats.*", "references_checksum_sha256")
+
+
 def test_entries(spark: SparkSession, path: str) -> DataFrame:
     """request, expected_approved, expected_fraud_score from a document with an entries array."""
     document = "entries array<" + TEST_ENTRY.simpleString() + ">"

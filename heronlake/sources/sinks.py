@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.evaluate import dataset_stats
 from ..operators.models import Node
 
 
@@ -17,6 +18,14 @@ def write_json(df: DataFrame, path: str, pretty: bool = False) -> None:
     df.select(F.to_json(F.struct(*df.columns), options).alias("value")).write.mode("overwrite").text(path)
 
 
+def write_golden(entries: DataFrame, path: str, references_checksum: str) -> None:
+    """entries (request, expected_approved, expected_fraud_score) as JSON lines under path/entries, and one row under path/stats: the counts and
+    rates of the entries as written, with the references' SHA-256."""
+    write_json(entries.select("request", "expected_approved", "expected_fraud_score"), f"{path}/entries")
+    written = entries.sparkSession.read.schema("expected_approved boolean, expected_fraud_score double").json(f"{path}/entries")
+    write_json(dataset_stats(written).select(F.struct("*").alias("stats"), F.lit(references_checksum).alias("references_checksum_sha256")), f"{path}/stats")
+
+
 def write_clustered(index: DataFrame, path: str, partitions: int | None = None) -> None:
     """References by cluster, sorted within: later reads prune by cluster, and joins on it find its rows together."""
     spread = index.repartition(partitions, "cluster_id") if partitions else index.repartition("cluster_id")

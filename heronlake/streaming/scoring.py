@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import knn, models
+from ..engine import Engine
+from ..operators import knn
 from ..operators.vectorize import approved, response, vectorize
 from ..plans import adapters, fixed
 from ..schemas import DIMS, PAYLOAD
+from ..sources.shared import shared_folder
 
 
 def requests(spark: SparkSession, folder: str, files_per_trigger: int = 100) -> DataFrame:
@@ -19,12 +20,10 @@ def requests(spark: SparkSession, folder: str, files_per_trigger: int = 100) ->
     return spark.readStream.schema(PAYLOAD).option("maxFilesPerTrigger", files_per_trigger).json(folder)
 
 
-def score_served(payloads: DataFrame) -> DataFrame:
-    """id, approved, fraud_score, body: linear gate, then tree. A map over rows, so the same on batches and streams."""
-    rows = vectorize(payloads, ["id"], rounded=False)
-    fraud = models.gate(models.linear_score(fixed.WEIGHTS, fixed.INTERCEPT), models.tree_value(fixed.TREE), 2.0).cast("double")
-    scored = rows.select("id", fraud.alias("fraud_score"))
-    return scored.select("id", approved(F.col("fraud_score")).alias("approved"), "fraud_score", response(F.col("fraud_score")).alias("body"))
+def score_served(payloads: DataFrame, engine: Engine, band: float = 10.0) -> DataFrame:
+    """id, approved, fraud_score, body by the models that the engine has published: linear gate, then tree. A map over rows, so the same on
+    batches and streams; a stream keeps the models it was started with."""
+    return engine.score_served(payloads, band).select("id", "approved", "fraud_score", response(F.col("fraud_score")).alias("body"))
 
 
 def score_by_neighbours(stream: DataFrame, refs: DataFrame, out: str, checkpoint: str):
@@ -46,10 +45,11 @@ def history_features(events: DataFrame, delay: str = "1 hour") -> DataFrame:
 
 def replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events as a stream of requests, scored by the served model: id, approved, fraud_score."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="heronlake-")
-    base = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     adapters.payloads(spark, sf_dir).select(*[f.name for f in PAYLOAD.fields]).write.json(f"{base}/in", ignoreNullFields=False)
-    scored = score_served(requests(spark, f"{base}/in"))
+    engine = Engine()
+    engine.publish_models(fixed.WEIGHTS, fixed.INTERCEPT, fixed.TREE)
+    scored = score_served(requests(spark, f"{base}/in"), engine, band=2.0)
     started = scored.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
     started.awaitTermination()
     return spark.read.schema("id string, approved boolean, fraud_score double, body string").parquet(f"{base}/out")

@@ -57,3 +57,13 @@ def test_quantizers_differ_at_halves(spark):
 def test_clamp_keeps_nulls(spark):
     row = spark.createDataFrame([(None, -1.0, 0.25, 7.0)], "a double, b double, c double, d double").select(*[scalar.clamp01(F.col(x)) for x in "abcd"]).first()
     assert list(row) == [None, 0.0, 0.25, 1.0]
+
+
+def test_text_helpers(spark):
+    rows = spark.createDataFrame([("0123456789ab", [("x",)], 1536.0, [1.0, 2.0]), (None, [], 999.0, [1.0, None]), ("abc", None, 2.5e9, [1.0])], "c string, e array<struct<id: string>>, n double, v array<double>")
+    found = rows.select(
+        scalar.short_commit(F.col("c")), scalar.first_id(F.col("e"), "none"), scalar.bytes_text(F.col("n")), scalar.guarded(F.col("v"), 2, F.get("v", F.lit(1))), scalar.padded(F.col("c"), 5)
+    ).collect()
+    assert [tuple(r) for r in found] == [("0123456", "x", "1.53 kB", 2.0, "0123456789ab"), (None, "none", "999 B", None, None), ("abc", "none", "2.5 GB", None, "  abc")]
+    stamp = spark.range(1).select(F.unix_timestamp(scalar.stamp_utc(), "yyyy-MM-dd'T'HH:mm:ssXXX") - F.unix_timestamp()).first()[0]
+    assert abs(stamp) < 5

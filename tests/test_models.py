@@ -1,5 +1,6 @@
 """Trees, forests, linear models, scores and evaluation against literals."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -100,3 +101,24 @@ def test_the_generated_set_has_the_size_of_the_reference(spark):
 
     found = {x.profile: x.n for x in catalogue.queries()["q_generate"](spark, "").collect()}
     assert sum(found.values()) == 54_100 and abs(found["legit"] / 54_100 - 0.53) < 0.01
+
+
+def test_svd_of_an_empty_table_is_an_error(spark):
+    with pytest.raises(ValueError, match="no rows"):
+        training.truncated_svd(spark.createDataFrame([], "a double, b double"), 1, ["a", "b"])
+
+
+def test_request_counters(spark):
+    rows = [(True, True, 1.0), (True, False, 2.0), (False, False, 3.0), (False, True, 9.0), (None, True, 5.0)]
+    schema = "approved boolean, expected_approved boolean, ms double"
+    assert tuple(evaluate.request_counters(spark.createDataFrame(rows, schema)).first()) == (1, 1, 1, 1, 1, 0.2, 9.0)
+    assert tuple(evaluate.request_counters(spark.createDataFrame([], schema)).first()) == (0, 0, 0, 0, 0, 0.0, None)
+
+
+def test_mahalanobis_difference_against_numpy(spark):
+    inverse, legit, fraud = [[2.0, 0.5], [0.5, 1.0]], [0.0, 1.0], [1.0, -1.0]
+    x = np.array([0.3, 0.7])
+    form = lambda m: (x - m) @ np.array(inverse) @ (x - m)
+    rows = spark.createDataFrame([(0.3, 0.7)], "a double, b double")
+    found = rows.select(models.mahalanobis_difference(["a", "b"], legit, fraud, inverse).alias("d")).first()["d"]
+    assert found == pytest.approx(form(legit) - form(fraud))

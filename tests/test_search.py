@@ -1,5 +1,6 @@
 """Neighbour search against brute force, and the indexes."""
 
+import os
 import random
 
 import numpy as np
@@ -7,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from heronlake.operators import ivf, knn, lsh
+from heronlake.plans import adapters
 
 
 def vectors(spark, n, dims, name, seed=1, grid=6):
@@ -131,3 +133,26 @@ def test_own_rows_are_no_neighbours(spark):
 def test_cosine(spark):
     d = knn.distances(np.array([[1.0, 0.0]]), np.array([[2.0, 0.0], [0.0, 3.0], [0.0, 0.0]]), "cosine")
     assert d.tolist() == [[0.0, 1.0, 1.0]]
+
+
+def test_quantized_index_with_all_clusters_is_exact(spark):
+    rows, refs, centroids = two_clusters(spark)
+    q = refs.where("ref_id % 20 = 0").select(F.col("ref_id").alias("qid"), "v")
+    index = ivf.assign(refs, centroids)
+    found = ivf.search_i16(q, index, centroids, nprobe=3, skip_own=True).collect()
+    whole = {i: np.rint(np.array(v) * 32767) for i, v, _ in rows}
+    for qid in (20, 40, 60, 80, 100):
+        best = sorted((float(((whole[i] - whole[qid]) ** 2).sum()), i) for i in whole if i != qid)[:5]
+        got = sorted((r["rank"], r.ref_id, r.distance) for r in found if r.qid == qid)
+        assert [g[1] for g in got] == [i for _, i in best]
+        assert [g[2] for g in got] == pytest.approx([d**0.5 / 32767 for d, _ in best])
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="needs the driver's tables")
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_recall_of_the_index_over_events(spark, sf):
+    v = adapters.written_vectors(spark, f"/root/testdata/{sf}")
+    q, r, c = adapters.event_queries(v).select("qid", "v"), adapters.event_refs(v).select("ref_id", "v", "y"), adapters.event_centroids(v)
+    exact = {(x.qid, x.ref_id) for x in knn.knn(q, r, skip_own=True).collect()}
+    found = {(x.qid, x.ref_id) for x in ivf.search(q, ivf.assign(r, c), c, skip_own=True).collect()}
+    assert len(exact & found) >= 0.9 * len(exact)

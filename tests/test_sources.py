@@ -7,7 +7,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from heronlake.engine import Engine
 from heronlake.operators import generate
+from heronlake.plans import fixed
 from heronlake.schemas import PAYLOAD
 from heronlake.sources import readers, sinks
 from heronlake.streaming import scoring
@@ -73,8 +75,10 @@ def test_upsert_and_checksums(spark, tmp_path):
 def test_stream_equals_batch(spark, tmp_path):
     rows = generate.payloads(spark, 60).select(*PAYLOAD.names)
     sinks.write_json(rows, str(tmp_path / "in"))
-    batch = scoring.score_served(readers.payloads(spark, str(tmp_path / "in"), lines=True))
-    stream = scoring.score_served(scoring.requests(spark, str(tmp_path / "in")))
+    served = Engine()
+    served.publish_models(fixed.WEIGHTS, fixed.INTERCEPT, fixed.TREE)
+    batch = scoring.score_served(readers.payloads(spark, str(tmp_path / "in"), lines=True), served)
+    stream = scoring.score_served(scoring.requests(spark, str(tmp_path / "in")), served)
     stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
     key = lambda df: sorted((r.id, r.approved, r.body) for r in df.collect())
     assert key(spark.read.parquet(str(tmp_path / "out"))) == key(batch)
@@ -86,3 +90,26 @@ def test_stream_by_neighbours(spark, tmp_path):
     refs = generate.references(spark, 100).select(F.monotonically_increasing_id().alias("ref_id"), F.col("vector").alias("v"), (F.col("label") == "fraud").cast("int").alias("y"))
     scoring.score_by_neighbours(scoring.requests(spark, str(tmp_path / "in")), refs, str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).select("id").distinct().count() == 10
+
+
+def test_golden_document_and_its_stats(spark, tmp_path):
+    requests = generate.payloads(spark, 60, seed=7).select(F.xxhash64("id").alias("qid"), *[f.name for f in PAYLOAD.fields])
+    refs = generate.references(spark, 200).select(F.monotonically_increasing_id().alias("ref_id"), F.col("vector").alias("v"), F.when(F.col("label") == "fraud", 1).otherwise(0).alias("y"))
+    entries = generate.golden_entries(requests, refs)
+    sinks.write_golden(entries, str(tmp_path), "abc")
+    found = spark.read.json(str(tmp_path / "entries")).groupBy("expected_approved").count().collect()
+    by = {r["expected_approved"]: r["count"] for r in found}
+    stats = readers.golden_stats(spark, str(tmp_path / "stats")).first()
+    assert stats["total"] == 60 == sum(by.values()) and stats["fraud_count"] == by.get(False, 0) > 0
+    assert stats["legit_count"] == by.get(True, 0) > 0 and stats["references_checksum_sha256"] == "abc"
+    alone = generate.golden_entries(requests, refs.limit(0)).select("expected_approved", "expected_fraud_score").distinct().collect()
+    assert [tuple(r) for r in alone] == [(True, 0.0)]
+
+
+@pytest.mark.parametrize("text", ['[{"id": "a"}, {"id": ', '"no array"', '[{"id": "a", "transaction": 3}]'])
+def test_strict_payloads_raise(spark, tmp_path, text):
+    (tmp_path / "p.json").write_text('[{"id": "a"}, {"id": "b"}]')
+    assert [r.id for r in readers.strict_payloads(spark, str(tmp_path / "p.json")).collect()] == ["a", "b"]
+    (tmp_path / "q.json").write_text(text)
+    with pytest.raises(Exception):
+        readers.strict_payloads(spark, str(tmp_path / "q.json")).collect()
