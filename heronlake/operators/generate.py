@@ -76,10 +76,10 @@ def references(spark: SparkSession, n: int, fraud_ratio: float = 0.35, seed: int
 def golden_entries(requests: DataFrame, refs: DataFrame, skip_own: bool = False) -> DataFrame:
     """qid, request, expected_approved, expected_fraud_score of payloads with a qid: each labelled by exact search among refs
     (ref_id, v, y). Without references nothing speaks for fraud: the score is 0."""
-    from . import knn
+    from . import cells, knn
     from .vectorize import approved, vectorize
 
-    votes = knn.vote(knn.knn(vectorize(requests, ["qid"]).select("qid", F.array(*DIMS).alias("v")), refs, skip_own=skip_own))
+    votes = knn.vote(cells.knn(vectorize(requests, ["qid"]).select("qid", F.array(*DIMS).alias("v")), refs, skip_own=skip_own))
     packed = requests.select("qid", F.struct(*[f.name for f in PAYLOAD.fields]).alias("request"))
     score = F.coalesce("fraud_score", F.lit(0.0))
     return packed.join(votes, "qid", "left").select("qid", "request", approved(score).alias("expected_approved"), score.alias("expected_fraud_score"))
