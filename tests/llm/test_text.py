@@ -271,3 +271,25 @@ def test_a_folder_that_all_share_is_asked_for(spark, monkeypatch):
         t = shared.Tables(spark, "scoped")
         t.write(spark.range(3), "x")
     assert not os.path.exists(t.base.removeprefix("file://"))
+
+
+def test_features_read_the_whole_of_a_long_candidate():
+    from heronlake.llm import secrets
+
+    seen = []
+
+    class Seen(secrets.Model):
+        def __init__(self):
+            self.features = self
+            self.forest = self
+
+        def of(self, value, *_):
+            seen.append(value)
+            return [0.0]
+
+        def scores(self, x):
+            return secrets.np.zeros(len(x))
+
+    value = "a1" * 10_000
+    Seen().scan([f"x {value} y"], [None])
+    assert seen == [value]
