@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from .common import Bounded, by_batch, hold, pick
 
 #: Pre-tokens, space-led groups of pre-tokens, and pairs of tokens that a worker remembers; of the first two, twice as many at most.
-REMEMBERED, REMEMBERED_GROUPS, REMEMBERED_PAIRS = 120_000, 60_000, 300_000
+REMEMBERED, REMEMBERED_GROUPS, REMEMBERED_PAIRS = 90_000, 250_000, 300_000
 
 
 def read_ranks(content: bytes) -> dict[bytes, int]:
@@ -38,7 +38,10 @@ class Vocabulary:
         self.ranks = ranks
         self.bytes_of = {r: t for t, r in ranks.items()}
         self.halves: dict[int, tuple[int, int] | None] = {}
-        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        #: For each token, whether it stays apart behind another. The automaton hands it out with the token's length and rank.
+        self.known: dict[int, dict[int, bool]] = {}
+        self.pairs = 0
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY)
         for token, rank in sorted(ranks.items(), key=lambda x: x[1]):
             if len(token) == 1:
                 self.halves[rank] = None
@@ -47,10 +50,9 @@ class Vocabulary:
                 if len(parts) != 2:
                     continue  # no merges lead to it: it only stands where it is a whole pre-token
                 self.halves[rank] = (ranks[parts[0]], ranks[parts[1]])
-            self.automaton.add_word(token.decode("latin-1"), len(token) << 20 | rank)
+            self.automaton.add_word(token.decode("latin-1"), (len(token), rank, self.known.setdefault(rank, {})))
         self.automaton.make_automaton()
         self.longest = max(map(len, ranks), default=0)
-        self.known: dict[int, bool] = {}
 
     def _merged(self, parts: list[bytes], below: int) -> list[bytes]:
         """Merges of lower rank than below, lowest first, the leftmost of equals."""
@@ -78,23 +80,26 @@ class Vocabulary:
                 latest, left = left, lh[1]
             else:  # of equal ranks the left one was merged first; and one across comes before its right neighbour
                 latest, right = right + 1, rh[0]
-        if len(self.known) > REMEMBERED_PAIRS:
-            self.known.clear()
-        self.known[a << 20 | b] = good
+        if self.pairs > REMEMBERED_PAIRS:
+            for behind in self.known.values():
+                behind.clear()
+            self.pairs = 0
+        self.known[b][a] = good
+        self.pairs += 1
         return good
 
 
 def fill(vocabulary: Vocabulary, text: str, last: list[int], base: int = 0) -> None:
     """Sets last[e], the last token of prefix e, for all e that are -1 yet. text: the bytes from base on, as latin-1."""
-    known, apart, base = vocabulary.known, vocabulary.apart, base + 1
-    for end, found in vocabulary.automaton.iter(text):  # of one end, the longest first
+    apart, base = vocabulary.apart, base + 1
+    for end, (n, rank, known) in vocabulary.automaton.iter(text):  # of one end, the longest first
         end += base
         if last[end] < 0:
-            before, rank = last[end - (found >> 20)], found & 0xFFFFF
+            before = last[end - n]
             if before < 0:  # the token is the whole prefix
                 last[end] = rank
                 continue
-            good = known.get(before << 20 | rank)
+            good = known.get(before)
             if apart(before, rank) if good is None else good:
                 last[end] = rank
 
@@ -131,22 +136,29 @@ class Codec:
         # characters starts a pre-token, whatever stands further off. This holds for the public patterns;
         # for others, whole texts are cut.
         self.cuts = pattern.count(" ") == pattern.count(" ?") and pattern.endswith(r"|\s+(?!\S)|\s+")
-        self.groups = Bounded(lambda x: b"".join(map(self.pack.__getitem__, self.pattern.findall(x))), REMEMBERED_GROUPS)
+        self.groups = Bounded(self._group, REMEMBERED_GROUPS)
+        self.packed = {i: (struct.pack("<I", i), len(t)) for t, i in ranks.items()}
 
-    def piece(self, content: bytes) -> list[int]:
+    def _piece(self, text: str) -> bytes:
+        content, packed = text.encode("utf-8", "surrogatepass"), self.packed
         whole = self.vocabulary.ranks.get(content)
         if whole is not None:
-            return [whole]
-        end, out, of = len(content), [], self.vocabulary.bytes_of
-        fill(self.vocabulary, content.decode("latin-1"), last := [-1] * (end + 1))
+            return packed[whole][0]
+        end, out = len(content), []
+        fill(self.vocabulary, text if text.isascii() else content.decode("latin-1"), last := [-1] * (end + 1))
         while end:
-            out.append(last[end])
-            end -= len(of[last[end]])
-        return out[::-1]
-
-    def _piece(self, text: str) -> bytes:
-        ids = self.piece(text.encode("utf-8", "surrogatepass"))
-        return struct.pack(f"<{len(ids)}I", *ids)
+            code, n = packed[last[end]]
+            out.append(code)
+            end -= n
+        return b"".join(out[::-1])
+
+    def _group(self, text: str) -> bytes:
+        """A group that is one pre-token is remembered as a group only."""
+        found = self.pattern.findall(text)
+        if len(found) > 1:
+            return b"".join(map(self.pack.__getitem__, found))
+        pack = self.pack
+        return pack.get(text) or pack.older.get(text) or self._piece(text) if found else b""
 
     def encode_packed(self, text: str) -> bytes:
         """Token ids as little-endian unsigned 32-bit integers."""

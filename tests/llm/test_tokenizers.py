@@ -139,3 +139,22 @@ def test_count_of_repeated_rows_and_clashing_names(spark):
     file = queries.tokenizer(queries.UNIGRAM_FILE)
     assert [tuple(x)[:2] for x in unigram.count_tokens(rows, file).collect()] == [(1, 2), (1, 2)]
     assert unigram.count_tokens(rows.limit(0), file).count() == 0
+
+
+def test_a_group_of_one_pre_token_is_remembered_once():
+    own = bpe.Codec(bpe.codec(queries.tokenizer(queries.BPE_FILE), queries.pattern()).vocabulary.ranks, queries.pattern())
+    own.encode("so qwyzzlek qwyzzlek, qwyzzlek")
+    assert " qwyzzlek" in own.groups and " qwyzzlek," in own.groups and "so" not in own.pack
+    for word in (" vbqwuth", " vbqwuth!"):
+        own.encode("a" + word)
+    assert " vbqwuth" in own.groups and set(own.pack) == {" qwyzzlek", ",", " vbqwuth", "!"}
+
+
+def test_pairs_of_tokens_are_bounded(codec, reference, monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBERED_PAIRS", 50)
+    v = bpe.Vocabulary(codec.vocabulary.ranks)
+    for text in texts(300, 25, 9):
+        content = text.encode()
+        found = bpe.Prefixes(v, content).tokens()
+        assert b"".join(v.bytes_of[i] for i in found) == content
+        assert sum(map(len, v.known.values())) <= 51 and v.pairs <= 51
