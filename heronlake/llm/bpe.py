@@ -23,8 +23,11 @@ from pyspark.sql import DataFrame
 
 from .common import Bounded, by_batch, hold, pick
 
-#: Pre-tokens, space-led groups of pre-tokens, and pairs of tokens that a worker remembers; of the first two, twice as many at most.
-REMEMBERED, REMEMBERED_GROUPS, REMEMBERED_PAIRS = 90_000, 250_000, 300_000
+#: Pre-tokens, space-led groups of pre-tokens, and pairs of tokens that a worker remembers; of the first two, twice as many at most,
+#: and only what is asked for again: a worker shares its executor's memory with a JVM that earlier operators have left large.
+REMEMBERED, REMEMBERED_GROUPS, REMEMBERED_PAIRS = 40_000, 80_000, 300_000
+#: Marks, a byte each, of pre-tokens and groups that were asked for once.
+MARKS, MARKS_GROUPS = 500_000, 1_000_000
 
 
 def read_ranks(content: bytes) -> dict[bytes, int]:
@@ -131,12 +134,12 @@ class Codec:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         self.vocabulary, self.pattern = Vocabulary(ranks), regex.compile(pattern)
-        self.pack = Bounded(self._piece, REMEMBERED)
+        self.pack = Bounded(self._piece, REMEMBERED, MARKS)
         # No pre-token holds a space but at its start or in a run of white space, so one between two other
         # characters starts a pre-token, whatever stands further off. This holds for the public patterns;
         # for others, whole texts are cut.
         self.cuts = pattern.count(" ") == pattern.count(" ?") and pattern.endswith(r"|\s+(?!\S)|\s+")
-        self.groups = Bounded(self._group, REMEMBERED_GROUPS)
+        self.groups = Bounded(self._group, REMEMBERED_GROUPS, MARKS_GROUPS)
         self.packed = {i: (struct.pack("<I", i), len(t)) for t, i in ranks.items()}
 
     def _piece(self, text: str) -> bytes:
@@ -290,9 +293,9 @@ def round_trip(docs: DataFrame, vocabulary: str, pattern: str, doc_id: str = "do
     """doc_id, ids, decoded: encode() and decode() in one worker, for checking a corpus without handing the ids over twice."""
 
     def run(batch: pa.RecordBatch) -> list[pa.Array]:
-        c, of = codec(vocabulary, pattern), token_bytes(vocabulary)
+        c = codec(vocabulary, pattern)
         ids = [c.encode_packed(x or "") for x in batch.column(1).to_pylist()]
-        return [batch.column(0), pa.array(ids, pa.binary()), pa.array([join_tokens(x, of) for x in ids], pa.binary())]
+        return [batch.column(0), pa.array(ids, pa.binary()), pa.array([c.decode_packed(x) for x in ids], pa.binary())]
 
     docs = pick(docs, doc_id=doc_id, text=text)
     return by_batch(docs, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids binary, decoded binary", run)

@@ -152,26 +152,41 @@ def _fields(schema: str) -> list[str]:
 
 class Bounded(dict):
     """A cache that computes what is missing. When full, it keeps what was asked for since it was last full: at most twice the number of
-    entries. Keys of more than LONGEST characters are computed and not kept, so that entries bound the bytes, too."""
+    entries. Keys of more than LONGEST characters are computed and not kept, so that entries bound the bytes, too. doors: so many marks, by
+    hash, of what was asked for once; beyond a sixteenth of most, only what is asked for again is kept: a corpus has most of its words once."""
 
     LONGEST = 64
 
-    def __init__(self, compute: Callable, most: int) -> None:
+    def __init__(self, compute: Callable, most: int, doors: int = 0) -> None:
         super().__init__()
         self.compute, self.most, self.older = compute, most, {}
+        self.doors, self.marked = bytearray(doors), 0
 
     def __missing__(self, key):
         if len(key) > self.LONGEST:
             return self.compute(key)
-        if len(self) >= self.most:
-            self.older = dict(self)
-            self.clear()
         value = self.older.get(key)
         if value is None:
             value = self.compute(key)
+            if self.doors and len(self) >= self.most // 16 and self._first(key):
+                return value
+        if len(self) >= self.most:
+            self.older = dict(self)
+            self.clear()
         self[key] = value
         return value
 
+    def _first(self, key) -> bool:
+        """Whether the key's mark was not set yet. The marks are wiped when half of them are set."""
+        at = hash(key) % len(self.doors)
+        if self.doors[at]:
+            return False
+        if self.marked >= len(self.doors) // 2:
+            self.doors, self.marked = bytearray(len(self.doors)), 0
+        self.doors[at] = 1
+        self.marked += 1
+        return True
+
     def forget(self) -> None:
         self.clear()
         self.older = {}

@@ -5,7 +5,7 @@ import struct
 
 import pytest
 
-from heronlake.llm import bpe, queries, unigram
+from heronlake.llm import bpe, common, queries, unigram
 
 PIECES = ["a", "b", " ", "  ", "\n", "the", "ing", "'s", "é", "漢", "1", "23", "!", "\t", " ", "İ", " '", "aaaa", "    ", "\r\n", "😀", "<|endoftext|>"]
 
@@ -158,3 +158,21 @@ def test_pairs_of_tokens_are_bounded(codec, reference, monkeypatch):
         found = bpe.Prefixes(v, content).tokens()
         assert b"".join(v.bytes_of[i] for i in found) == content
         assert sum(map(len, v.known.values())) <= 51 and v.pairs <= 51
+
+
+def test_a_worker_keeps_only_what_is_asked_for_again(codec, monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBERED_GROUPS", 8_000)
+    own = bpe.Codec(codec.vocabulary.ranks, queries.pattern())
+    once, again = [f"w{i}x" for i in range(30_000)], "these words come again"
+    packed = own.encode_packed(" ".join(once))
+    assert own.decode_packed(packed).decode() == " ".join(once)
+    assert len(own.groups) < 1_000 and len(own.groups.older) < 1_000
+    assert [own.encode_packed(again) for _ in range(3)] == [codec.encode_packed(again)] * 3
+    assert {"these", " words", " come", " again"} <= set(own.groups)
+
+
+def test_marks_and_both_generations_give_what_is_computed():
+    cache = common.Bounded(lambda x: x[::-1], 50, 64)
+    keys = [f"k{i * i % 97}" for i in range(5_000)]
+    assert [cache[k] for k in keys] == [k[::-1] for k in keys]
+    assert len(cache) <= 50 and len(cache.older) <= 50 and cache.marked <= 32 and len(cache) + len(cache.older) > 20
